@@ -85,6 +85,7 @@ class Words:
         self.starts = np.flatnonzero(inside & ~after)
         self.first = np.searchsorted(self.starts, offsets)
         self.inside = inside
+        self.data = data
         self.n = n
         self.offsets = offsets
         if len(self.starts):
@@ -97,6 +98,16 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def prefixes(self, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of more than ``length`` bytes, and a hash of the first ``length`` bytes of each (A-Z as a-z)."""
+        far = np.minimum(self.starts + length, self.n - 1)
+        words = np.flatnonzero(self.inside[far] & (self.starts + length < self.n) & (np.append(self.starts[1:], self.n) > self.starts + length))
+        table = byte_values(b"", seed)
+        hashes = np.full(len(words), seed, np.uint64)
+        for k in range(length):
+            hashes = hashes * np.uint64(_M) + table[self.data[self.starts[words] + k]]
+        return words, mix64(hashes)
+
     def docs(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
