@@ -98,6 +98,16 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def ends(self) -> np.ndarray:
+        """One past the last byte of each word."""
+        last = self.inside.copy()
+        if self.n:
+            last[:-1] &= ~self.inside[1:]
+            begins = self.offsets[1:-1]
+            begins = begins[(begins > 0) & (begins < self.n)]
+            last[begins - 1] = self.inside[begins - 1]
+        return np.flatnonzero(last) + 1
+
     def prefixes(self, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of more than ``length`` bytes, and a hash of the first ``length`` bytes of each (A-Z as a-z)."""
         far = np.minimum(self.starts + length, self.n - 1)
