@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, mixing, packing, topk, toxicity, vector_dedup, warc
+from . import jaccard, langid, licenses, mixing, packing, topk, toxicity, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_vector_dedup": op6_vector_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_warc": op8_warc,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -62,4 +67,5 @@ ORACLES: dict[str, str] = {
     "op6_vector_dedup": vector_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op9_jaccard_join": jaccard.ORACLE,
 }
