@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import slices, utf8
@@ -234,9 +234,17 @@ def fit(labelled: DataFrame, *, per_language: int = 1200, excerpt: int = 384, **
     place = F.pmod(F.shiftrightunsigned(spread, 8), F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     rows = rows.select("lang", spread.alias("spread"), F.substring(F.col("text"), place, F.lit(excerpt)).alias("part"))
-    first = Window.partitionBy("lang").orderBy("spread", "part")
-    rows = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_language).orderBy("lang", "nth").collect()
-    return train([r["part"].encode() for r in rows], [r["lang"] for r in rows], **options)
+    # Hashes are even: a share of them that holds per_language texts, and some to spare, is known from counts.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return train([], [], **options)
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.25 * per_language + 100) / n))))
+    near = rows.filter(F.pmod("spread", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40)).collect()
+    chosen: dict[str, list] = {}
+    for lang, spread, part in sorted((r["lang"], r["spread"] % (1 << 40), r["part"]) for r in near):
+        if len(chosen.setdefault(lang, [])) < per_language:
+            chosen[lang].append(part)
+    return train([part.encode() for parts in chosen.values() for part in parts], [lang for lang, parts in chosen.items() for _ in parts], **options)
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
