@@ -60,6 +60,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def struct_field(column: pa.Array, name: str) -> pa.Array:
+    return column.field(column.type.get_field_index(name))
+
+
 def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer text is a slice of its own."""
     at, n = 0, len(offsets) - 1

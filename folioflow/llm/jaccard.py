@@ -218,6 +218,16 @@ def similar_documents(docs: DataFrame, *, n: int = 4, percent: int = 85) -> Data
     return summary.join(materialise(final, "components"), F.col("doc_id") == F.col("f_id"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one_each(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component: the one of the smallest doc_id.
+
+    Rows of one doc_id are one document, so one of them stays; rows without a doc_id all do.
+    """
+    found = similar_documents(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+
+
 ORACLE = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._text import slices, utf8
+from ._text import slices, struct_field, utf8
 
 WINDOW = 128  # bytes that are read in one run of the network
 LANES = 512  # windows that are read side by side
@@ -248,20 +249,20 @@ def fit(labelled: DataFrame, *, per_language: int = 1200, excerpt: int = 384, **
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, lang_pred and score of every document, from its whole text.
+    """Row (the columns of ``docs``), lang_pred and score of every document, from its whole text.
 
     The network labels each byte position; a document's probabilities are the means over
     its positions, and score is that of the language predicted. Texts that are null or
     have no letter are ``und`` with score 0, as is all if no language was learned.
-    Repeated rows are each scored. Other columns are ignored.
+    Repeated rows are each scored. Only the text is read.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = broadcast.value
+        net = shared.value
         reader = Reader(net)
         for batch in batches:
-            column = batch.column("text")
+            column = struct_field(batch.column("row"), "text")
             data, offsets = utf8(column)
             best, scores = [], []
             for a, b in slices(offsets):
@@ -270,10 +271,9 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
                 top = p.argmax(1)
                 best += [net.langs[k] if ok and net.langs else "und" for k, ok in zip(top, lettered, strict=True)]
                 scores += [float(x) if ok else 0.0 for x, ok in zip(p[np.arange(b - a), top], lettered, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(score, T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out_fold(doc_id, mod: int):
@@ -285,5 +285,15 @@ def languages(docs: DataFrame, *, mod: int = 4, held_out: int = 2, **options) ->
     """Learn from labelled documents outside the held-out fold and predict every document."""
     fold = held_out_fold(F.col("doc_id"), mod)
     net = fit(docs.filter(fold != held_out).select("doc_id", "text", "lang"), **options)
-    found = identify(docs, net)
+    found = identify(docs.select("doc_id", "text"), net).select("row.doc_id", "lang_pred", "score")
     return found.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, *, least_score: float = 0.3, **options) -> DataFrame:
+    """The documents in which some learned language is recognised.
+
+    Those without letters and those that look like no language in particular go.
+    Columns stay as they are.
+    """
+    found = identify(docs, fit(docs.select("doc_id", "text", "lang"), **options))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

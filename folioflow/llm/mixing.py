@@ -113,6 +113,25 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     ).drop("row_key", "position")
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row for each time a document is taken, with the columns of ``docs``.
+
+    The document at the end of a source's quota is cut after the words that are taken of
+    it (single spaces between them), and a column n_chars then counts the cut text. Rows
+    that are equal in doc_id, source and text are taken as often as the schedule says.
+    """
+    keyed = docs.withColumn("_mix_key", F.xxhash64("doc_id", "source", "text"))
+    times = fair_queue(keyed, keep=("_mix_key",), **options).filter("taken > 0").groupBy(F.col("_mix_key").alias("_mix_of")).agg(F.collect_list(F.struct("taken", "size")).alias("_mix_takes"))
+    rows = keyed.dropDuplicates(["_mix_key"]).join(times, F.col("_mix_key") == F.col("_mix_of")).withColumn("_mix_take", F.explode("_mix_takes"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    short = F.col("_mix_take.taken") < F.col("_mix_take.size")
+    text = F.when(short, F.array_join(F.slice(words, F.lit(1), F.col("_mix_take.taken").cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(docs.columns)
+
+
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, mixing, packing, topk, toxicity, vector_dedup, warc
+from . import jaccard, langid, licenses, mixing, packing, scoring, topk, toxicity, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_nnls_packing": op2_nnls_packing,
     "op3_kd_tree_search": op3_kd_tree_search,
     "op4_license_scan": op4_license_scan,

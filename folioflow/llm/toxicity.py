@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._text import NON_ALNUM, Words, batch_words, byte_values
+from ._text import NON_ALNUM, Words, batch_words, byte_values, struct_field
 
 BITS = 18
 STEMS = (4, 5)  # bytes
@@ -167,25 +168,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 10_000, **options
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted of every document, from its whole text.
+    """Row (the columns of ``docs``), score (0 to 1) and predicted of every document, from its whole text.
 
     Null and empty texts get the score of a text without words. Repeated rows are each
-    scored; an empty table gives no rows; other columns are ignored.
+    scored; an empty table gives no rows. Only the text is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = 1 / (1 + np.exp(-np.clip(shared.value.odds(batch.column("text")), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            odds = shared.value.odds(struct_field(batch.column("row"), "text"))
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {kind}, score double, predicted int")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(rate, T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, mod: int = 5, held_out: int = 0, **options) -> DataFrame:
     """Learn from labels outside the held-out fold and score every document."""
     fold = F.crc32(F.col("doc_id").cast("string")) % mod
     model = fit(docs, labels.filter(fold != held_out).select("doc_id", "toxic"), **options)
-    found = score(docs, model)
+    found = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score", "predicted")
     return found.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_harmless(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that aren't predicted to be toxic, by a model of all labels. Columns stay as they are."""
+    return score(docs, fit(docs, labels.select("doc_id", "toxic"), **options)).filter("predicted = 0").select("row.*")
