@@ -20,6 +20,7 @@ CHUNK = 1 << 14
 ORDERS = 3
 STARS = 4
 SALTS = 256
+WORDS = 1 << 16
 
 
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -106,7 +107,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
     Orders put shingles of rarer buckets first and differ in how they mix those of one
     frequency class. Sets that are similar enough share a shingle of their prefixes
     (|x| - ceil(percent |x| / 100) + 1 shingles) under each order. The first order's prefix
-    is given as shingles, the others' as 32-bit digests.
+    is given as shingles, the others' as 32-bit digests, all in their order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     others = [f"prefix_{k}" for k in range(1, ORDERS)]
@@ -121,7 +122,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
                 rank = classes[(x >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                 for k in range(ORDERS):
                     order = rank | mix64(x, 40 + k) >> np.uint64(8)
-                    chosen = x[np.argpartition(order, p - 1)[:p]] if p else x
+                    chosen = x[np.argsort(order)[:p]]
                     found[k].append(signed(chosen) if k == 0 else (chosen >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(found[0], pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in found[1:])], ["doc_id", "n", "tokens", *others])
 
@@ -137,7 +138,13 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     pairs = materialise(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")), "pairs")
     members = pairs.select(F.col("b").alias("id"), F.col("a").alias("leader"), "salt", F.lit(1).alias("member"))
     leaders = pairs.select(F.col("a").alias("id"), F.col("a").alias("leader"), "salt", F.lit(0).alias("member")).distinct()
-    texts = members.unionByName(leaders).join(docs, F.col("id") == F.col("doc_id"))
+    wanted = members.unionByName(leaders)
+    # A filter of a fixed size lets few other texts into the shuffle.
+    word = lambda x: F.pmod(F.xxhash64(F.lit("bits"), x), F.lit(WORDS)).cast("int")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit("bit"), x), F.lit(64)).cast("int"))
+    bits = F.broadcast(wanted.select(word(F.col("id")).alias("word"), bit(F.col("id")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))  # at most WORDS rows of 12 bytes
+    near = docs.join(bits, (word(F.col("doc_id")) == F.col("word")) & (F.col("bits").bitwiseAND(bit(F.col("doc_id"))) != 0), "left_semi")
+    texts = wanted.join(near, F.col("id") == F.col("doc_id"))
     texts = texts.select("leader", "salt", "member", "id", "text").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,28 +197,32 @@ def similar_documents(docs: DataFrame, *, n: int = 4, percent: int = 85) -> Data
     placed = materialise(chosen.select("doc_id", "n").join(parts.withColumnRenamed("id", "p_id"), F.col("doc_id") == F.col("p_id"), "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("part")), "parts")
 
     ordered = materialise(prefixes(docs.filter("doc_id IS NOT NULL"), classes, n, percent), "prefixes")
-    postings = ordered.select("doc_id", F.explode("tokens").alias("token"))
+    postings = ordered.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     common = postings.groupBy(F.col("token").alias("c_token")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("c_token")
     shared = postings.join(materialise(common, "common"), F.col("token") == F.col("c_token"), "left_semi")
-    shared = materialise(shared.join(placed.withColumnRenamed("doc_id", "p_id"), F.col("doc_id") == F.col("p_id")).select("token", "doc_id", "n", "part"), "shared")
-    # Shingles within one component only have nothing left to tell.
-    spread = shared.groupBy(F.col("token").alias("s_token")).agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("s_token")
-    shared = materialise(shared.join(materialise(spread, "spread"), F.col("token") == F.col("s_token"), "left_semi"), "shared")
-    sides = shared.groupBy("token", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sides = materialise(sides, "sides")
-    other = sides.select(*(F.col(c).alias(f"o_{c}") for c in sides.columns))
-    meet = sides.join(other, (F.col("token") == F.col("o_token")) & (F.col("part") < F.col("o_part")) & (F.col("most") * 100 >= F.col("o_least") * percent) & (F.col("o_most") * 100 >= F.col("least") * percent)).select("token", "part", "o_part")
-    left = shared.select(*(F.col(c).alias(f"l_{c}") for c in shared.columns))
+    shared = materialise(shared.join(placed.withColumnRenamed("doc_id", "p_id"), F.col("doc_id") == F.col("p_id")).select("token", "pos", "doc_id", "n", "part"), "shared")
+    # Shingles within one component only have nothing left to tell. Of the others, the
+    # documents outside a shingle's largest component meet all documents of another one.
+    sides = shared.groupBy("token", "part").count()
+    sides = sides.groupBy(F.col("token").alias("s_token")).agg(F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("main")).filter("parts > 1").select("s_token", "main")
+    shared = materialise(shared.join(materialise(sides, "sides"), F.col("token") == F.col("s_token")).drop("s_token"), "shared")
+    left = shared.filter("part <> main").select(*(F.col(c).alias(f"l_{c}") for c in shared.columns))
     right = shared.select(*(F.col(c).alias(f"r_{c}") for c in shared.columns))
-    pairs = meet.join(left, (F.col("token") == F.col("l_token")) & (F.col("part") == F.col("l_part")))
-    pairs = pairs.join(right, (F.col("token") == F.col("r_token")) & (F.col("o_part") == F.col("r_part")) & alike(F.col("l_n"), F.col("r_n")))
+    # Similar sets share so many shingles at least, so the first shared one has a place early enough in both.
+    overlap = lambda x, y: F.ceil((x + y) * percent / (100 + percent))
+    least = overlap(F.col("l_n"), F.col("r_n"))
+    apart = (F.col("l_part") != F.col("r_part")) & ((F.col("r_part") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
+    early = (F.col("l_pos") <= F.col("l_n") - least) & (F.col("r_pos") <= F.col("r_n") - least)
+    pairs = left.join(right, (F.col("l_token") == F.col("r_token")) & apart & alike(F.col("l_n"), F.col("r_n")) & early)
     pairs = materialise(pairs.select(F.least("l_doc_id", "r_doc_id").alias("a"), F.greatest("l_doc_id", "r_doc_id").alias("b")).distinct(), "candidates")
     others = [f"prefix_{k}" for k in range(1, ORDERS)]
-    first = ordered.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in others))
-    second = ordered.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in others))
-    meeting = pairs.join(first, "a").join(second, "b")
+    first = ordered.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), *(F.col(c).alias(f"a_{c}") for c in others))
+    second = ordered.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), *(F.col(c).alias(f"b_{c}") for c in others))
+    least = overlap(F.col("a_n"), F.col("b_n"))
+    begins = lambda side, c: F.slice(f"{side}_{c}", F.lit(1), F.greatest(F.lit(0), F.col(f"{side}_n") - least + 1).cast("int"))
+    meeting = pairs.join(first, "a").join(second, "b").filter(alike(F.col("a_n"), F.col("b_n")))
     for c in others:
-        meeting = meeting.filter(F.arrays_overlap(f"a_{c}", f"b_{c}"))
+        meeting = meeting.filter(F.arrays_overlap(begins("a", c), begins("b", c)))
     late = materialise(verify(meeting.select("a", "b").distinct(), docs, n, percent), "links")
     parts = components(links.unionByName(late))
     final = named.select("doc_id", "id").distinct().join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").groupBy(F.col("doc_id").alias("f_id")).agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
