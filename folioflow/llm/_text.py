@@ -1,6 +1,6 @@
 """Vectorised word hashing over the UTF-8 bytes of Arrow string columns.
 
-Works on whole texts in slices of about one megabyte; the helpers know nothing of
+Works on whole texts in slices of a quarter of a megabyte; the helpers know nothing of
 Spark and are called from ``mapInArrow`` functions.
 """
 
@@ -32,7 +32,7 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 18)
         base = np.full(size, _M, np.uint64)
         base[0] = 1
         _POW = np.multiply.accumulate(base)
@@ -53,9 +53,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each text begins; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     buffers = column.buffers()
-    offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if buffers[1] is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(buffers[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
@@ -64,7 +68,7 @@ def struct_field(column: pa.Array, name: str) -> pa.Array:
     return column.field(column.type.get_field_index(name))
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; a longer text is a slice of its own."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -127,7 +131,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def batch_words(column: pa.Array, table: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def batch_words(column: pa.Array, table: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     data, offsets = utf8(column)
     for a, b in slices(offsets, limit):
         lo, hi = offsets[a], offsets[b]

@@ -81,6 +81,7 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(size, pa.int32()), *(pa.array(signed(np.array(v, np.uint64))) for v in (first, second)), pa.array(least, pa.list_(pa.int64())), none, none, pa.nulls(len(size), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
         part = TaskContext.get().partitionId() // 256
+        pa.default_memory_pool().release_unused()
         rows = [{"chunk": c, "part": part, "counts": counts[c * CHUNK : (c + 1) * CHUNK].tobytes()} for c in range(BUCKETS // CHUNK)]
         yield pa.RecordBatch.from_pylist(rows, schema)
 

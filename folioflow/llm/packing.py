@@ -28,7 +28,7 @@ class WordTokenizer:
     are forgotten when there are more than ``most``.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
@@ -58,7 +58,7 @@ class WordTokenizer:
 
     def encode(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text of a column with ``end_id`` behind them; null texts are empty."""
-        for a, b, words in batch_words(column, _TABLE):
+        for a, b, words in batch_words(column, _TABLE, 1 << 20):
             if len(self.keys) > self.most:
                 self.forget()
             distinct, sample, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
@@ -115,6 +115,7 @@ def cut(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1,
                     kept.append(bytes(piece) if keep_ids else None)
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(docs.schema["doc_id"].dataType.simpleString()))
 
