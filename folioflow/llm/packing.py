@@ -167,7 +167,7 @@ def combinations(bins: int) -> np.ndarray:
     return np.array(found)
 
 
-def plan(histogram: np.ndarray, window: int = 2048, quantum: int = 16) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: np.ndarray, window: int = 2048, quantum: int = 8) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Slots for all pieces of a histogram of lengths (index: length), and the number of sequences.
 
     Full pieces are sequences of their own. Lengths are rounded up to ``quantum`` into bins;
@@ -228,7 +228,7 @@ def plan(histogram: np.ndarray, window: int = 2048, quantum: int = 16) -> tuple[
     return slots, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, keep_ids: bool = False, quantum: int = 16, salts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, keep_ids: bool = False, quantum: int = 8, salts: int = 256) -> DataFrame:
     """Every document's pieces with their places in sequences of at most ``window`` ids.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids with
