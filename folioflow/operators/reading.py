@@ -1,22 +1,111 @@
-"""Reader analytics: unions of intervals, daily totals and streaks of days."""
+"""Reader analytics: unions of intervals, streaks, progress, samples, bins and history."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval_union(spans: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
-    """Overlapping or touching spans of a key joined into one; empty and reversed spans are left out."""
+def _islands(spans: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(start, stop)
     reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.filter(F.col(stop) > F.col(start)).withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
+    rows = spans.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
     rows = rows.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "_span").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_span")
 
 
+def interval_union(spans: DataFrame, keys: list[str], start: str, stop: str, block: int = 1_000_000) -> DataFrame:
+    """Overlapping or touching spans of a key joined into one; empty and reversed spans are left out.
+
+    Spans are first united within blocks of ``block`` start units, so that a key with very
+    many spans is spread over tasks and only its united spans meet in one.
+    """
+    rows = spans.select(*keys, start, stop).filter(F.col(stop) > F.col(start)).withColumn("_block", F.floor(F.col(start) / block))
+    return _islands(_islands(rows, [*keys, "_block"], start, stop).drop("_block"), keys, start, stop)
+
+
 def day_streaks(days: DataFrame, keys: list[str], day: str) -> DataFrame:
     """Runs of consecutive days of each key: first day, last day and length."""
     distinct = days.select(*keys, day).distinct()
     island = F.date_sub(F.col(day), F.row_number().over(Window.partitionBy(*keys).orderBy(day)))
     return distinct.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("days")).drop("_island")
+
+
+def current_streak(streaks: DataFrame, keys: list[str], today: Column) -> DataFrame:
+    """The length of each key's streak that ends today or yesterday; 0 where none does."""
+    alive = F.col("last_day").between(F.date_sub(today, 1), today)
+    return streaks.groupBy(*keys).agg(F.coalesce(F.max(F.when(alive, F.col("days"))), F.lit(0)).alias("streak"))
+
+
+def heat_level(seconds: Column) -> Column:
+    """0 under a minute, then 1 to 4 from 1, 10, 30 and 60 minutes."""
+    return F.when(seconds < 60, 0).when(seconds < 600, 1).when(seconds < 1800, 2).when(seconds < 3600, 3).otherwise(4)
+
+
+def occupancy(read: Column, finished: Column, available: Column) -> Column:
+    return F.when(available == 0, "empty").when(finished >= available, "finished").when(read > 0, "reading").otherwise("unread")
+
+
+def continue_target(entries: DataFrame, work: str, position: str, progress: str, read_at: str, done: float = 0.95) -> DataFrame:
+    """(work, action, target): start at the first entry, resume the one read last, go on to the next unfinished, or finished.
+
+    ``progress`` is null for entries that were never opened.
+    """
+    finished = F.coalesce(F.col(progress) >= done, F.lit(False))
+    marked = entries.select(work, position, progress, read_at, finished.alias("_finished"))
+    last = marked.groupBy(work).agg(
+        F.max_by(position, F.when(F.col(read_at).isNotNull(), F.struct(read_at, position))).alias("_last"),
+        F.max_by("_finished", F.when(F.col(read_at).isNotNull(), F.struct(read_at, position))).alias("_done"),
+        F.min(position).alias("_first"),
+    )
+    later = marked.join(last, work).filter(~F.col("_finished") & (F.col(position) > F.col("_last"))).groupBy(work).agg(F.min(position).alias("_next"))
+    rows = last.join(later, work, "left")
+    action = F.when(F.col("_last").isNull(), "start").when(~F.col("_done"), "resume").when(F.col("_next").isNotNull(), "next").otherwise("finished")
+    target = F.when(F.col("_last").isNull(), F.col("_first")).when(~F.col("_done"), F.col("_last")).otherwise(F.col("_next"))
+    return rows.select(work, action.alias("action"), target.alias("target"))
+
+
+def weighted_sample(rows: DataFrame, ident: str, weight: Column, seed: int, size: int) -> DataFrame:
+    """``size`` rows without replacement, drawn in proportion to weight; the same seed gives the same rows.
+
+    Each row gets the key ln(u) / weight, with u in (0, 1] from a hash of its id and the seed.
+    """
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(ident)), F.lit(2**52)) + 1) / F.lit(float(2**52))
+    return rows.filter(weight > 0).withColumn("_key", F.log(u) / weight).orderBy(F.desc("_key"), ident).limit(size).drop("_key")
+
+
+def equal_bins(entries: DataFrame, work: str, position: str, state_rank: Column, bins: int) -> DataFrame:
+    """Entries of each work in at most ``bins`` bins of equal count; a bin has its highest state."""
+    whole = Window.partitionBy(work)
+    rows = entries.withColumns({"_n": F.row_number().over(whole.orderBy(position)) - 1, "_count": F.count("*").over(whole)})
+    wide = F.least(F.lit(bins), F.col("_count"))
+    # Bin b begins at floor(b * count / bins), so row n stands in bin ceil((n + 1) * bins / count) - 1.
+    rows = rows.withColumn("bin", (F.ceil((F.col("_n") + 1) * wide / F.col("_count")) - 1).cast("long"))
+    return rows.groupBy(work, "bin").agg(F.count("*").alias("n"), F.max(state_rank).alias("state_rank"))
+
+
+def next_available(entries: DataFrame, work: str, position: str, available: Column) -> DataFrame:
+    """Adds next_position, the next available entry of the work, and skipped, how many stand between."""
+    later = Window.partitionBy(work).orderBy(position).rowsBetween(1, Window.unboundedFollowing)
+    place = F.row_number().over(Window.partitionBy(work).orderBy(position))
+    rows = entries.withColumn("_place", place).withColumn("_next", F.min(F.when(available, F.struct("_place", position))).over(later))
+    return rows.withColumns({"next_position": F.col(f"_next.{position}"), "skipped": (F.col("_next._place") - F.col("_place") - 1).cast("long")}).drop("_place", "_next")
+
+
+def compact_history(history: DataFrame, reader: str, work: str, at: str, ident: str, keep: int) -> DataFrame:
+    """The ``keep`` newest entries of each reader and the newest of each of their works."""
+    newest = [F.desc(at), F.desc(ident)]
+    rows = history.withColumns({
+        "_overall": F.row_number().over(Window.partitionBy(reader).orderBy(*newest)),
+        "_of_work": F.row_number().over(Window.partitionBy(reader, work).orderBy(*newest)),
+    })
+    return rows.filter((F.col("_overall") <= keep) | (F.col("_of_work") == 1)).drop("_overall", "_of_work")
+
+
+def last_before(lookups: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """Each lookup with the value of the last mark of its key at or before it (null: none yet); one sort, no range join."""
+    mark = marks.select(*keys, F.col(at), F.lit(0).alias("_kind"), F.struct(value).alias("_mark"))
+    rows = lookups.withColumn("_row", F.struct(*lookups.columns)).select(*keys, at, F.lit(1).alias("_kind"), "_row").unionByName(mark, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_mark", F.last("_mark", ignorenulls=True).over(upto)).filter("_kind = 1")
+    return found.select("_row.*", F.col(f"_mark.{value}").alias(value))

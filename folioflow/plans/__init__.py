@@ -1 +1,3 @@
+"""Registered queries; importing this package registers all of them."""
 
+from folioflow.plans import queries, readers, stores  # noqa: F401
