@@ -1,4 +1,4 @@
-"""Catalogue search: matches, pages with neighbours, facets and keyword in context."""
+"""Catalogue search: matches, pages with neighbours, facets, discovery, suggestions and keyword in context."""
 
 from __future__ import annotations
 
@@ -6,16 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def page_around(matches: DataFrame, *order: Column, size: int, around: Column) -> DataFrame:
-    """The page of ordered matches on which the row of ``around`` stands, with its neighbours' ids.
+def page_around(matches: DataFrame, value: str, key: str, size: int, around) -> DataFrame:
+    """The page on which the row with key ``around`` stands, by value (descending, nulls last) and key, with its neighbours' keys.
 
-    Needs a column id. Positions count from 0 over all matches.
+    Positions count from 0 over all matches. The rows before the anchor are only counted;
+    sorting is by two top-k selections of at most a page each. No row with that key: no rows.
     """
-    rows = matches.withColumn("position", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    row = Window.orderBy("position")
-    rows = rows.withColumns({"previous_id": F.lag("id").over(row), "next_id": F.lead("id").over(row), "page": F.floor(F.col("position") / size)})
-    page = rows.filter(around).select(F.col("page").alias("_page")).limit(1)
-    return rows.join(F.broadcast(page), F.col("page") == F.col("_page")).drop("_page")
+    anchor = matches.filter(F.col(key) == F.lit(around)).select(value).first()
+    if anchor is None:
+        return matches.filter(F.lit(False)).withColumns({"position": F.lit(0).cast("long"), "previous_id": F.col(key), "next_id": F.col(key), "page": F.lit(0).cast("long")})
+    same, at = F.col(value).eqNullSafe(F.lit(anchor[0])), F.lit(anchor[0])
+    ahead = F.col(value).isNotNull() if anchor[0] is None else F.col(value) > at
+    earlier = F.coalesce(ahead, F.lit(False)) | (same & (F.col(key) < F.lit(around)))
+    position = matches.filter(earlier).count()
+    inside = position % size
+    # one row more on either side, for the neighbours of the first and the last row
+    head = matches.filter(earlier).orderBy(F.col(value).asc_nulls_first(), F.desc(key)).limit(inside + 1)
+    tail = matches.filter(~earlier).orderBy(F.col(value).desc_nulls_last(), F.asc(key)).limit(size - inside + 1)
+    row = Window.orderBy(F.col(value).desc_nulls_last(), F.asc(key))
+    first = position - min(inside + 1, position)
+    rows = head.unionByName(tail).withColumns({"position": (F.row_number().over(row) - 1 + first).cast("long"), "previous_id": F.lag(key).over(row), "next_id": F.lead(key).over(row)})
+    return rows.withColumn("page", F.floor(F.col("position") / size)).filter(F.col("page") == position // size)
 
 
 def facets(rows: DataFrame, keys: list[str], label: Column, normal: Column) -> DataFrame:
@@ -25,7 +36,7 @@ def facets(rows: DataFrame, keys: list[str], label: Column, normal: Column) -> D
 
 
 def keyword_in_context(docs: DataFrame, word: str, before: int = 36, after: int = 36) -> DataFrame:
-    """(id, hit, start, left, exact, right) of each place where the word stands in a text, without overlaps."""
+    """(id, hit, start, before, exact, after) of each place where the word stands in a text, without overlaps."""
     pieces = F.split(F.lower("text"), rf"\Q{word.lower()}\E")
     rows = docs.filter(F.contains(F.lower("text"), F.lit(word.lower()))).select("id", "text", F.posexplode(F.transform(pieces, F.length)).alias("hit", "size"))
     upto = Window.partitionBy("id").orderBy("hit").rowsBetween(Window.unboundedPreceding, 0)
@@ -33,7 +44,52 @@ def keyword_in_context(docs: DataFrame, word: str, before: int = 36, after: int
     begin = F.greatest(F.lit(0), F.col("start") - before)
     return rows.filter("hit < pieces").select(
         "id", "hit", "start",
-        F.substring("text", begin + 1, F.col("start") - begin).alias("left"),
+        F.substring("text", begin + 1, F.col("start") - begin).alias("before"),
         F.substring("text", F.col("start") + 1, F.lit(len(word))).alias("exact"),
-        F.substring("text", F.col("start") + 1 + len(word), F.lit(after)).alias("right"),
+        F.substring("text", F.col("start") + 1 + len(word), F.lit(after)).alias("after"),
     )
+
+
+def on_this_day(posts: DataFrame, at: str, today: Column) -> DataFrame:
+    """Posts of earlier years with the month and day of ``today``."""
+    same = (F.month(at) == F.month(today)) & (F.day(F.col(at)) == F.day(today))
+    return posts.filter(same & (F.year(at) < F.year(today)))
+
+
+def hot(posts: DataFrame, at: str, key: str, comments: str, views: str, newest: int = 2000, size: int = 20) -> DataFrame:
+    """The most commented of the ``newest`` posts; ties go to more views, then to the newer post."""
+    recent = posts.orderBy(F.desc(at), F.desc(key)).limit(newest)
+    return recent.filter(F.col(comments) > 0).orderBy(F.desc(comments), F.desc(views), F.desc(at), F.desc(key)).limit(size)
+
+
+def resolve(rows: DataFrame, key: str, wanted: list) -> DataFrame:
+    """The rows of up to 500 wanted keys in their order (column place), nulls for those not found."""
+    if len(wanted) > 500:
+        raise ValueError("at most 500 keys at a time")
+    asked = rows.sparkSession.createDataFrame(list(enumerate(wanted)), f"place int, {key} {rows.schema[key].dataType.simpleString()}")
+    found = rows.filter(F.col(key).isin(list(set(wanted))))  # reaches the scan
+    return asked.join(found, key, "left")
+
+
+def board_kind(posts: DataFrame, board: str, drawn: Column) -> DataFrame:
+    """all where every post of the board is drawn, none where no post is, else null."""
+    counts = posts.groupBy(board).agg(F.bool_and(drawn).alias("_all"), F.bool_or(drawn).alias("_any"))
+    return counts.select(board, F.when(F.col("_all"), "all").when(~F.col("_any"), "none").alias("kind"))
+
+
+def smart_views(works: DataFrame, views: dict[str, Column]) -> DataFrame:
+    """How many works each saved view holds, in one pass over the works."""
+    counts = works.agg(*(F.count_if(predicate).alias(name) for name, predicate in views.items()))
+    return counts.unpivot([], list(views), "view", "n")
+
+
+def term_index(docs: DataFrame, key: str, text: Column, trigrams: bool = False) -> DataFrame:
+    """(term, documents, places, bytes) of the words or letter trigrams of all texts."""
+    if trigrams:
+        whole = F.coalesce(text, F.lit(""))
+        terms = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - 2, F.lit(1))), lambda i: F.substring(whole, i, F.lit(3)))
+    else:
+        terms = F.split(F.coalesce(text, F.lit("")), r"[ \t\n\f\r]+")
+    rows = docs.select(key, F.explode(terms).alias("term")).filter("term <> ''")
+    per = rows.groupBy("term", key).agg(F.count("*").alias("_n"))
+    return per.groupBy("term").agg(F.count("*").alias("documents"), F.sum("_n").alias("places"), F.octet_length(F.first("term")).cast("long").alias("bytes"))

@@ -134,7 +134,7 @@ SELECT id, n_chars, position, previous_id, next_id, page FROM p WHERE page = (SE
 def page_around(spark, sf_dir):
     english = _t(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "n_chars")
     sixth = english.orderBy("id").limit(6).agg(F.max("id").alias("id")).first()["id"]
-    return search.page_around(english, F.desc("n_chars"), F.col("id"), size=20, around=F.col("id") == F.lit(sixth))
+    return search.page_around(english, "n_chars", "id", size=20, around=sixth)
 
 
 @query("c5_facets", """

@@ -60,8 +60,8 @@ def occupancy(spark, sf_dir):
 
 
 @query("j12_continue_target", _ENTRIES + """, m AS (SELECT *, coalesce(progress >= 0.95, false) AS fin FROM e),
-l AS (SELECT work, arg_max(position, (read_at, position)) FILTER (read_at IS NOT NULL) AS last, arg_max(fin, (read_at, position)) FILTER (read_at IS NOT NULL) AS done, min(position) AS first FROM m GROUP BY work),
-n AS (SELECT l.work, any_value(last) AS last, any_value(done) AS done, any_value(first) AS first, min(position) FILTER (NOT fin AND position > last) AS next FROM l JOIN m ON l.work = m.work GROUP BY l.work)
+a AS (SELECT work, arg_max(position, (read_at, position)) FILTER (read_at IS NOT NULL) AS last, arg_max(fin, (read_at, position)) FILTER (read_at IS NOT NULL) AS done, min(position) AS first FROM m GROUP BY work),
+n AS (SELECT a.work, any_value(last) AS last, any_value(done) AS done, any_value(first) AS first, min(position) FILTER (NOT fin AND position > last) AS next FROM a JOIN m ON a.work = m.work GROUP BY a.work)
 SELECT work, CASE WHEN last IS NULL THEN 'start' WHEN NOT done THEN 'resume' WHEN next IS NOT NULL THEN 'next' ELSE 'finished' END AS action,
 CASE WHEN last IS NULL THEN first WHEN NOT done THEN last ELSE next END AS target FROM n""")
 def continue_target(spark, sf_dir):
