@@ -166,9 +166,10 @@ def train_on(net: Network, pieces: Iterator[tuple[np.ndarray, np.ndarray]], *, b
     return n
 
 
-def fit(docs: DataFrame, words: Vocabulary, *, width: int = 24, rounds: int = 2, share: int = 8, batch: int = 8192, rate: float = 0.1) -> Network:
+def fit(docs: DataFrame, words: Vocabulary, *, width: int = 24, rounds: int = 2, share: int = 2, batch: int = 8192, rate: float = 0.1) -> Network:
     """Train on the words of every ``share``th document per round, where these are.
 
+    With at least ``share`` rounds every document trains, by default each just once.
     In each round, every task trains a copy of the network on its own documents of that
     round; the copies are averaged, weighted by their words, in Spark. What is gathered
     grows with the number of tasks, and so with the corpus; the driver gets the average.

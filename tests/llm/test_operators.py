@@ -247,6 +247,14 @@ def test_pseudo_likelihood(spark):
     assert scoring.pseudo_likelihood(empty(spark)).count() == 0
 
 
+def test_every_document_trains(spark):
+    docs = spark.createDataFrame([(i, f"own{i} " * 6, None, None, 0.0, 0) for i in range(60)], DOC)
+    known = scoring.vocabulary(docs, 4032)
+    net = scoring.fit(docs, known)
+    moved = (net.inputs != scoring.Network(known.size, net.width).inputs).any((0, 2))
+    assert moved[scoring.CLASS : scoring.CLASS + 60].all()
+
+
 def test_network_is_a_distribution_and_gradients_are_right():
     rng = np.random.default_rng(0)
     net = scoring.Network(128, 5)
