@@ -12,23 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import NON_ALNUM, Words, batch_words, byte_values, signed
+from ._work import materialise
 
 REACH = (-2, -1, 1, 2)  # the words around a masked one
-CLASS = 64  # words of a class of the output layer
+CLASS = 64  # buckets of rare words, and the fewest words of a class of the output layer
+SHARED = 1 << 18  # words below the vocabulary whose counts every task gets; counts of the others are joined
 _TABLE = byte_values(NON_ALNUM)
 CHUNK = 1 << 14
 
 
 @dataclass
 class Vocabulary:
-    """The most frequent words, most frequent first; all others fall into a class of buckets."""
+    """The most frequent words, most frequent first; all others fall into buckets.
+
+    A rare word's probability is its bucket's, times its share of the bucket's words in
+    all documents: ``buckets`` counts these, ``rest`` and ``rest_n`` are rare words and
+    their counts.
+    """
 
     hashes: np.ndarray
+    rest: np.ndarray
+    rest_n: np.ndarray
+    buckets: np.ndarray
 
     def __post_init__(self):
         self.order = np.argsort(self.hashes, kind="stable")
         self.sorted = self.hashes[self.order]
-        self.size = -(-(len(self.hashes) + CLASS) // CLASS) * CLASS
+        order = np.argsort(self.rest)
+        self.rest, self.rest_n = self.rest[order], self.rest_n[order]
+        size = len(self.hashes) + CLASS
+        self.per_class = -(-int(np.ceil(np.sqrt(size))) // CLASS) * CLASS
+        self.size = -(-size // self.per_class) * self.per_class
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         """The first CLASS numbers are the buckets, then come the words."""
@@ -39,6 +53,18 @@ class Vocabulary:
             out[known] = CLASS + self.order[place[known]]
         return out
 
+    def log_shares(self, hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the words' shares of their tokens, and the places where the word's own log count is yet to be added."""
+        out = np.zeros(len(tokens))
+        rare = np.flatnonzero(tokens < CLASS)
+        out[rare] = -np.log(np.maximum(self.buckets, 1))[tokens[rare]]
+        if len(self.rest) and len(rare):
+            place = np.minimum(np.searchsorted(self.rest, hashes[rare]), len(self.rest) - 1)
+            known = self.rest[place] == hashes[rare]
+            out[rare[known]] += np.log(self.rest_n[place[known]])
+            rare = rare[~known]
+        return out, rare
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): how often each word, by its hash, stands in all documents."""
@@ -52,10 +78,29 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, words: int) -> Vocabulary:
-    """The ``words`` most frequent words of all documents; only they come to the driver."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(words).collect()
-    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+def vocabulary(docs: DataFrame, words: int, counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words of all documents: as many as the square root of their number of words, at least ``words``.
+
+    Only these and the counts of at most ``SHARED`` others come to the driver.
+    """
+    counts = count_words(docs) if counts is None else counts
+    sizes = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    size = max(words, int(np.ceil(np.sqrt(sum(n * k for n, k in sizes)))))
+    so_far = np.cumsum([k for _, k in sizes])
+    # The count of the last word of the vocabulary, and the least one of which all words fit the driver.
+    last = sizes[min(int(np.searchsorted(so_far, size)), len(sizes) - 1)][0] if sizes else 1
+    fits = int(np.searchsorted(so_far, size + SHARED, "right"))
+    least = sizes[fits - 1][0] if fits else last + 1
+    top = counts.filter(F.col("n") >= last).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    hashes = top.column("word").to_numpy().view(np.uint64)
+    rest = counts.filter(F.col("n").between(least, last)).toArrow() if least <= last else top.slice(0, 0)
+    word, n = rest.column("word").to_numpy().view(np.uint64), rest.column("n").to_numpy()
+    rare = ~np.isin(word, hashes)
+    buckets = np.zeros(CLASS, np.int64)
+    for r in counts.groupBy(F.pmod("word", F.lit(CLASS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        buckets[r["bucket"]] = r["n"]
+    np.subtract.at(buckets, (hashes % np.uint64(CLASS)).astype(np.int64), top.column("n").to_numpy())
+    return Vocabulary(hashes, word[rare], n[rare], buckets)
 
 
 def contexts(words: Words, tokens: np.ndarray, edge: int) -> np.ndarray:
@@ -76,16 +121,16 @@ class Network:
 
     SHAPES = ("inputs", "bias", "to_class", "class_bias", "to_word", "word_bias")
 
-    def __init__(self, size: int, width: int, seed: int = 1):
+    def __init__(self, size: int, width: int, seed: int = 1, per_class: int = CLASS):
         rng = np.random.default_rng(seed)
-        classes = size // CLASS
-        self.size, self.width = size, width
+        classes = size // per_class
+        self.size, self.width, self.per_class = size, width, per_class
         self.inputs = rng.normal(0, 0.1, (len(REACH), size + 1, width)).astype("f4")
         self.bias = np.zeros(width, "f4")
         self.to_class = rng.normal(0, 0.1, (width, classes)).astype("f4")
         self.class_bias = np.zeros(classes, "f4")
-        self.to_word = rng.normal(0, 0.1, (classes, width, CLASS)).astype("f4")
-        self.word_bias = np.zeros((classes, CLASS), "f4")
+        self.to_word = rng.normal(0, 0.1, (classes, width, per_class)).astype("f4")
+        self.word_bias = np.zeros((classes, per_class), "f4")
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, name).ravel() for name in self.SHAPES])
@@ -112,14 +157,14 @@ class Network:
 
     def _by_class(self, cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.size // CLASS + 1))
+        cuts = np.searchsorted(cls[order], np.arange(self.size // self.per_class + 1))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             yield c, order[cuts[c] : cuts[c + 1]]
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each masked word given its neighbours; over all words they sum to 1."""
         h = self.hidden(around)
-        cls, word = np.divmod(target, CLASS)
+        cls, word = np.divmod(target, self.per_class)
         out = self._log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(target)), cls]
         for c, rows in self._by_class(cls):
             out[rows] += self._log_softmax(h[rows] @ self.to_word[c] + self.word_bias[c])[np.arange(len(rows)), word[rows]]
@@ -129,8 +174,8 @@ class Network:
         """Of the mean log-loss."""
         n = np.float32(len(target))
         h = self.hidden(around)
-        cls, word = np.divmod(target, CLASS)
-        g = {name: np.zeros_like(getattr(self, name)) for name in self.SHAPES}
+        cls, word = np.divmod(target, self.per_class)
+        g = {name: np.zeros(getattr(self, name).shape, "f4") for name in self.SHAPES}
         d = np.exp(self._log_softmax(h @ self.to_class + self.class_bias))
         d[np.arange(len(target)), cls] -= 1
         d /= n
@@ -160,9 +205,16 @@ def train_on(net: Network, pieces: Iterator[tuple[np.ndarray, np.ndarray]], *, b
             part = slice(at, at + batch)
             n += len(target[part])
             for name, g in net.gradients(around[:, part], target[part]).items():
-                past[name] += g * g
-                weight = getattr(net, name)
-                weight -= rate * g / np.sqrt(past[name])
+                weight, old = getattr(net, name), past[name]
+                if name == "inputs":  # of the words seen; the others' gradients are 0
+                    for k in range(len(REACH)):
+                        seen = np.unique(around[k, part])
+                        mine = g[k, seen]
+                        old[k, seen] += mine * mine
+                        weight[k, seen] -= rate * mine / np.sqrt(old[k, seen])
+                else:
+                    old += g * g
+                    weight -= rate * g / np.sqrt(old)
     return n
 
 
@@ -171,11 +223,12 @@ def fit(docs: DataFrame, words: Vocabulary, *, width: int = 24, rounds: int = 2,
 
     With at least ``share`` rounds every document trains, by default each just once.
     In each round, every task trains a copy of the network on its own documents of that
-    round; the copies are averaged, weighted by their words, in Spark. What is gathered
-    grows with the number of tasks, and so with the corpus; the driver gets the average.
+    round; the copies are averaged, weighted by their words, in Spark. A copy is as large
+    as the vocabulary, so a round has at most four tasks a core; the driver gets the average.
     """
-    net = Network(words.size, width)
+    net = Network(words.size, width, per_class=words.per_class)
     spark = docs.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
     schema = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
     ddl = "chunk int, part int, n long, weights binary"
 
@@ -188,11 +241,11 @@ def fit(docs: DataFrame, words: Vocabulary, *, width: int = 24, rounds: int = 2,
 
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((net.flat(), words))
-        mine = docs.filter(F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(share)) == turn % share).select("text")
+        mine = docs.filter(F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(share)) == turn % share).select("text").coalesce(tasks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             flat, words = shared.value
-            own = Network(words.size, width).load(flat)
+            own = Network(words.size, width, per_class=words.per_class).load(flat)
 
             def pieces():
                 for one in batches:
@@ -216,38 +269,57 @@ def fit(docs: DataFrame, words: Vocabulary, *, width: int = 24, rounds: int = 2,
     return net
 
 
-def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
+def score(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and mean_log_likelihood of every document, from its whole text.
 
     Every word is masked in turn and predicted from its neighbours on both sides; the log
-    probabilities are summed up. Null texts and texts without words have no tokens, a sum
-    of 0 and a null mean. Repeated rows are each scored; an empty table gives no rows; other
-    columns are ignored.
+    probabilities are summed up. A word outside the vocabulary has its share of its bucket's
+    probability, by ``counts`` (a word that isn't in them counts once). Null texts and texts
+    without words have no tokens, a sum of 0 and a null mean. Repeated rows are each scored;
+    an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((net, words))
+    pairs = pa.struct([("word", pa.int64()), ("times", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words = shared.value
         for batch in batches:
-            count, total = [], []
+            count, total, ends, rare_words, times = [], [], [np.zeros(1, np.int32)], [], []
             for _, _, found in batch_words(batch.column("text"), _TABLE):
                 tokens = words.tokens(found.hashes)
                 around = contexts(found, tokens, words.size)
-                logs = np.empty(len(tokens))
+                logs, rare = words.log_shares(found.hashes, tokens)
                 for at in range(0, len(tokens), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    logs[part] = net.log_probabilities(around[:, part], tokens[part])
+                    logs[part] += net.log_probabilities(around[:, part], tokens[part])
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 count += found.counts().tolist()
                 total += (sums[found.first[1:]] - sums[found.first[:-1]]).tolist()
-            means = [t / n if n else None for t, n in zip(total, count, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(total, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                doc, word = found.docs()[rare], found.hashes[rare]
+                order = np.lexsort((word, doc))
+                doc, word = doc[order], word[order]
+                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]))[: len(doc)])
+                rare_words.append(signed(word[new]))
+                times.append(np.diff(np.append(new, len(doc))).astype(np.int32))
+                ends.append(ends[-1][-1] + np.searchsorted(doc[new], np.arange(len(found.first) - 1), "right").astype(np.int32))
+            struct = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], f.type) for x, f in zip((rare_words, times), pairs, strict=True)], fields=list(pairs))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "a", "b")), pa.array(count, pa.int64()), pa.array(total, pa.float64()), rare], ["doc_id", "a", "b", "n_tokens", "total", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    # Texts are known by two hashes: rows may repeat, and doc_id may be null.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("b"), "text").alias("b"))
+    scored = materialise(keyed.mapInArrow(run, f"doc_id {kind}, a long, b long, n_tokens long, total double, rare array<struct<word:long,times:int>>"), "scores")
+    some, none = scored.filter(F.size("rare") > 0), scored.filter(F.size("rare") == 0)
+    each = some.select("a", "b", F.inline("rare")).groupBy("a", "b", "word").agg(F.max("times").alias("times"))
+    more = each.join(counts, "word", "left").groupBy("a", "b").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)))).alias("more"))
+    whole = none.select("doc_id", "n_tokens", "total").unionAll(some.join(more, ["a", "b"]).select("doc_id", "n_tokens", F.col("total") + F.col("more")))
+    mean = F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens"))
+    return whole.select("doc_id", "n_tokens", F.col("total").alias("log_likelihood"), mean.alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, *, words: int = 4032, **options) -> DataFrame:
     """Count the words of all documents, train, and score all of them."""
-    known = vocabulary(docs, words)
-    return score(docs, known, fit(docs, known, **options))
+    counts = materialise(count_words(docs), "words")
+    known = vocabulary(docs, words, counts)
+    return score(docs, known, fit(docs, known, **options), counts)

@@ -255,6 +255,36 @@ def test_every_document_trains(spark):
     assert moved[scoring.CLASS : scoring.CLASS + 60].all()
 
 
+@pytest.mark.parametrize("shared", [0, 1, 2])
+def test_rare_words_have_their_share_of_a_bucket(spark, shared):
+    names = pa.array([f"rare{i}" for i in range(400)])
+    hashes = np.concatenate([w.hashes for _, _, w in scoring.batch_words(names, scoring._TABLE)])
+    two = np.flatnonzero(hashes % np.uint64(64) == hashes[0] % np.uint64(64))[:2]
+    same = [names[int(i)].as_py() for i in two]
+    lines = ["often " * 300, same[0], *[same[1]] * 3, f"{same[0]} {same[1]} {same[1]}", None]
+    docs = spark.createDataFrame([(i, t, None, None, 0.0, 0) for i, t in enumerate(lines)], DOC)
+    counts = scoring.count_words(docs)
+    often = scoring.vocabulary(docs, 1, counts).hashes[:1]
+    buckets = np.bincount(hashes[:1] % np.uint64(64), [7], 64).astype(int)
+    known = scoring.Vocabulary(often, hashes[two][:shared], np.array([2, 5])[:shared], buckets)  # the others' counts are joined
+    net = scoring.Network(known.size, 4, per_class=known.per_class)
+    got = {r.doc_id: r.log_likelihood for r in scoring.score(docs, known, net, counts).collect()}
+    assert got[3] == pytest.approx(got[2]) and got[4] == pytest.approx(got[2]) and got[6] == 0
+    assert got[2] - got[1] == pytest.approx(np.log(5 / 2), abs=1e-6)  # counts 5 and 2 in one bucket, same neighbours
+    bare = scoring.contexts(next(w for _, _, w in scoring.batch_words(pa.array([lines[5]]), scoring._TABLE)), np.full(3, hashes[0] % np.uint64(64), np.int32), known.size)
+    plain = net.log_probabilities(bare, np.full(3, hashes[0] % np.uint64(64), np.int32)).sum()
+    assert got[5] == pytest.approx(plain + np.log(2 / 7) + 2 * np.log(5 / 7), abs=1e-5)
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    lines = [f"w{i} w{i} w{i % 7}" for i in range(1200)]
+    docs = spark.createDataFrame([(i, t, None, None, 0.0, 0) for i, t in enumerate(lines)], DOC)
+    known, fewer = scoring.vocabulary(docs, 4), scoring.vocabulary(docs.limit(300), 4)
+    assert (len(known.hashes), len(fewer.hashes)) == (60, 30)
+    assert known.buckets.sum() + 7 * 2 + 1200 + 53 * 2 == 3600
+    assert set(known.rest.tolist()).isdisjoint(known.hashes.tolist()) and known.rest_n.sum() == known.buckets.sum()
+
+
 def test_network_is_a_distribution_and_gradients_are_right():
     rng = np.random.default_rng(0)
     net = scoring.Network(128, 5)
