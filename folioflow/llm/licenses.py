@@ -78,6 +78,64 @@ FAMILIES = (
     ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s(?: works)?"),
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike"),
     ("cc-by", "creative", r"creative commons attribution"),
+    # Version and name as one word.
+    ("gpl-2", "gplv2", r"gplv2(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "gpl2", r"gpl2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gplv3", r"gplv3(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gpl3", r"gpl3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgplv2", r"lgplv2 1(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl2", r"lgpl2 1(?: only| or later)?"),
+    ("lgpl", "lgplv2", r"lgplv2(?: 0)?(?: only| or later)?"),
+    ("lgpl", "lgpl2", r"lgpl2(?: 0)?(?: only| or later)?"),
+    ("lgpl-3", "lgplv3", r"lgplv3(?: 0)?(?: only| or later)?"),
+    ("lgpl-3", "lgpl3", r"lgpl3(?: 0)?(?: only| or later)?"),
+    ("agpl-3", "agplv3", r"agplv3(?: 0)?(?: only| or later)?"),
+    ("agpl-3", "agpl3", r"agpl3(?: 0)?(?: only| or later)?"),
+    ("mpl-1.1", "mplv1", r"mplv1 1"),
+    ("mpl-2", "mplv2", r"mplv2(?: 0)?"),
+    ("mpl-2", "mpl2", r"mpl2(?: 0)?"),
+    ("apache-2", "apachev2", r"apachev2(?: 0)?"),
+    ("apache-2", "apache2", r"apache2(?: 0)?"),
+    ("epl-1", "eplv1", r"eplv1(?: 0)?"),
+    ("epl-2", "eplv2", r"eplv2(?: 0)?"),
+    ("eupl", "euplv1", r"euplv1(?: [012])?"),
+)
+#: Sentences of the licenses' own texts and notices: label, keyword, words.
+SENTENCES = (
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this (?:software|work)"),
+    ("boost", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("ofl-1.1", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("isc", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "hereby", r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", r"neither the names? of (?:\S+ ){1,12}may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-1.1", "endorse", r"the names apache and apache software foundation must not be used to endorse or promote products"),
+    ("apache-2", "compliance", r"apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", "hereby", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except)"),
+    ("zlib", "liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("libpng", "supplied", r"the png reference library is supplied as is"),
+    ("gpl-2", "general", r"gnu general public license as published by the free software foundation (?:either )?version 2"),
+    ("gpl-3", "general", r"gnu general public license as published by the free software foundation (?:either )?version 3"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public license as published by the free software foundation (?:either )?version 2 1"),
+    ("lgpl-3", "lesser", r"gnu lesser general public license as published by the free software foundation (?:either )?version 3"),
+    ("agpl-3", "affero", r"gnu affero general public license as published by the free software foundation (?:either )?version 3"),
+    ("gpl-2", "general", r"the gnu general public license is intended to guarantee your freedom to share and change free software"),
+    ("gpl-3", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl-3", "copyleft", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-2.1", "lesser", r"this license the lesser general public license applies to some specially designated software packages"),
+    ("lgpl-3", "lesser", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v ?2 0"),
+    ("epl-1", "eclipse", r"eclipse public license v 1 0"),
+    ("epl-2", "eclipse", r"eclipse public license v 2 0"),
+    ("artistic", "intent", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2", "establishes", r"this license establishes the terms under which a given free software package may be copied"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to"),
+    ("python-2", "licensee", r"psf is making python available to licensee on an as is basis"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("cc0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
 )
 #: Ways to mention a license, surest first, and how sure each is.
 FORMS = (
@@ -89,6 +147,7 @@ FORMS = (
 )
 #: Names that mean a license even without the word: they may stand alone.
 ALONE = frozenset(("gpl", "lgpl", "agpl", "cc", "cc0", "eupl", "cddl", "wtfpl", "unlicense", "creative", "lesser", "affero", "general"))
+ALONE |= {keyword for _, keyword, _ in FAMILIES if re.fullmatch(r"[a-z]+v?[1-3]", keyword)}
 REACH = 24  # words; no detection is longer
 
 
@@ -105,8 +164,8 @@ class Rule:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order of priority: forms in their order, within a form the families in theirs."""
-    found = []
+    """All rules in order of priority: sentences, then forms in their order, within a form the families in theirs."""
+    found = [Rule(label, keyword, re.compile(rf"(?<!\S){words}(?!\S)"), k, 1.0) for k, (label, keyword, words) in enumerate(SENTENCES)]
     for form, sureness in (*FORMS, ("{}", 0.6)):
         for label, keyword, name in FAMILIES:
             if form != "{}" or keyword in ALONE:

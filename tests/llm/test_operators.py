@@ -89,6 +89,23 @@ def test_license_suppression():
     assert len(licenses.rules()) > 200
 
 
+def test_license_joined_versions_and_texts():
+    cases = {
+        "Released as GPLv2+ by us": "gpl-2", "under GPLv3 or later": "gpl-3", "code is LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "see MPLv2": "mpl-2",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+        "GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl-3",
+    }
+    found = list(licenses.scan_texts(pa.array([("filler " * 40) + text for text in cases])))
+    assert [{d.label for d in x["found"]} for x in found] == [{label} for label in cases.values()]
+    for label, keyword, words in licenses.SENTENCES:
+        plain = re.sub(r"\(\?:\\S\+ \)\{1,12\}", "us ", words)
+        plain = re.sub(r"\(\?:([^|)]*)(?:\|[^)]*)?\)\??", r"\1", plain).replace("?", "")
+        assert keyword in plain.split() and len(plain.split()) <= licenses.REACH
+        assert label in {d.label for d in next(licenses.scan_texts(pa.array([plain])))["found"]}, plain
+
+
 def test_toxicity_swaps_and_insults(spark):
     rng = np.random.default_rng(0)
     lines, labels = [], []
