@@ -1,12 +1,16 @@
-"""Shared folders for tables that cut lineage."""
+"""Shared folders for tables that cut lineage, and their removal."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []  # folders of the temporary() blocks that are being run
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -29,14 +33,42 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/folioflow-{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, by Spark's own file systems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised in this block are removed at its end, but for those of ``keep=True``.
+
+    Kept tables belong to the block around this one, if there is any: whoever writes the
+    result of an operator can run it in a block of its own and so leave nothing behind.
+    """
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for path in mine:
+            remove(spark, path)
+
+
+def materialise(df: DataFrame, tag: str, *, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The result does not depend on executors that computed ``df``.
+    The result does not depend on executors that computed ``df``. ``keep``: it outlives
+    the ``temporary`` block in which it is written. ``by``: a column of few values, the
+    last one, by which the files are laid out.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
