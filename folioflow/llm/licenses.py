@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 Rules are regular expressions over a text's words, lower-cased and joined by single
-spaces. Each needs one of its keywords; only stretches of words around keywords are
-matched at all. Detections that lie inside one of higher priority are suppressed.
+spaces. Each needs its keyword; only stretches of words around keywords are matched at
+all. Detections that lie inside one of the same or higher priority are suppressed.
 """
 
 from __future__ import annotations
@@ -16,161 +16,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import NON_ALNUM, Words, batch_words, byte_values, slices, utf8
+from ._text import NON_ALNUM, Words, byte_values, slices, utf8
+from .license_signatures import TABLES
 
 #: Fixed phrases whose places are counted, and their labels.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Fixed list of licenses: label, keyword that every mention holds, and how it is named.
-FAMILIES = (
-    ("mit", "mit", r"mit"),
-    ("mit-0", "mit", r"mit (?:no attribution|0)"),
-    ("apache-1.1", "apache", r"apache(?: software)? 1 1"),
-    ("apache-2", "apache", r"apache(?: software)?(?: 2(?: 0)?)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)"),
-    ("bsd", "bsd", r"bsd(?: style)?"),
-    ("isc", "isc", r"isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("libpng", "libpng", r"libpng"),
-    ("gpl-2", "general", r"gnu general public(?: license)? v(?:ersion )?2(?: 0)?"),
-    ("gpl-3", "general", r"gnu general public(?: license)? v(?:ersion )?3(?: 0)?"),
-    ("gpl", "general", r"gnu general public"),
-    ("gpl-2", "gpl", r"gpl v?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gpl", r"gpl v?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", r"gnu (?:lesser|library) general public(?: license)? v(?:ersion )?2 1"),
-    ("lgpl-3", "lesser", r"gnu lesser general public(?: license)? v(?:ersion )?3(?: 0)?"),
-    ("lgpl", "lesser", r"gnu lesser general public"),
-    ("lgpl", "lgpl", r"lgpl(?: v?[23](?: [01])?)?(?: only| or later)?"),
-    ("agpl-3", "affero", r"(?:gnu )?affero general public(?: license)?(?: v(?:ersion )?3(?: 0)?)?"),
-    ("agpl-3", "agpl", r"agpl(?: v?3(?: 0)?)?(?: only| or later)?"),
-    ("mpl-1.1", "mozilla", r"mozilla public(?: license)? (?:v(?:ersion )?)?1 1"),
-    ("mpl-2", "mozilla", r"mozilla public(?: license)?(?: (?:v(?:ersion )?)?2(?: 0)?)?"),
-    ("mpl-2", "mpl", r"mpl(?: v?2(?: 0)?)?"),
-    ("epl-1", "eclipse", r"eclipse public(?: license)? (?:v(?:ersion )?)?1 0"),
-    ("epl-2", "eclipse", r"eclipse public(?: license)?(?: (?:v(?:ersion )?)?2(?: 0)?)?"),
-    ("cddl", "cddl", r"cddl(?: 1 [01])?"),
-    ("cddl", "distribution", r"common development and distribution"),
-    ("eupl", "eupl", r"eupl(?: v?1 [012])?"),
-    ("eupl", "european", r"european union public"),
-    ("artistic-2", "artistic", r"artistic(?: license)? 2(?: 0)?"),
-    ("artistic", "artistic", r"artistic"),
-    ("boost", "boost", r"boost(?: software)?"),
-    ("unlicense", "unlicense", r"the unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("python-2", "python", r"python(?: software foundation)?(?: 2(?: 0)?)?"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl"),
-    ("ofl-1.1", "sil", r"sil open font(?: license)?(?: 1 1)?"),
-    ("ms-pl", "microsoft", r"microsoft public"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?"),
-    ("cc0", "zero", r"creative commons zero"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1-4] 0)?"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1-4] 0)?"),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1-4] 0)?"),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1-4] 0)?"),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1-4] 0)?"),
-    ("cc-by", "cc", r"cc by(?: [1-4] 0)?"),
-    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: works)?"),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial"),
-    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s(?: works)?"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike"),
-    ("cc-by", "creative", r"creative commons attribution"),
-    # Version and name as one word.
-    ("gpl-2", "gplv2", r"gplv2(?: 0)?(?: only| or later)?"),
-    ("gpl-2", "gpl2", r"gpl2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gplv3", r"gplv3(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gpl3", r"gpl3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lgplv2", r"lgplv2 1(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl2", r"lgpl2 1(?: only| or later)?"),
-    ("lgpl", "lgplv2", r"lgplv2(?: 0)?(?: only| or later)?"),
-    ("lgpl", "lgpl2", r"lgpl2(?: 0)?(?: only| or later)?"),
-    ("lgpl-3", "lgplv3", r"lgplv3(?: 0)?(?: only| or later)?"),
-    ("lgpl-3", "lgpl3", r"lgpl3(?: 0)?(?: only| or later)?"),
-    ("agpl-3", "agplv3", r"agplv3(?: 0)?(?: only| or later)?"),
-    ("agpl-3", "agpl3", r"agpl3(?: 0)?(?: only| or later)?"),
-    ("mpl-1.1", "mplv1", r"mplv1 1"),
-    ("mpl-2", "mplv2", r"mplv2(?: 0)?"),
-    ("mpl-2", "mpl2", r"mpl2(?: 0)?"),
-    ("apache-2", "apachev2", r"apachev2(?: 0)?"),
-    ("apache-2", "apache2", r"apache2(?: 0)?"),
-    ("epl-1", "eplv1", r"eplv1(?: 0)?"),
-    ("epl-2", "eplv2", r"eplv2(?: 0)?"),
-    ("eupl", "euplv1", r"euplv1(?: [012])?"),
-)
-#: Sentences of the licenses' own texts and notices: label, keyword, words.
-SENTENCES = (
-    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this (?:software|work)"),
-    ("boost", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
-    ("ofl-1.1", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
-    ("isc", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("postgresql", "hereby", r"for any purpose without fee and without a written agreement is hereby granted"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", r"neither the names? of (?:\S+ ){1,12}may be used to endorse or promote products"),
-    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
-    ("apache-1.1", "endorse", r"the names apache and apache software foundation must not be used to endorse or promote products"),
-    ("apache-2", "compliance", r"apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("apache-2", "hereby", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except)"),
-    ("zlib", "liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
-    ("libpng", "supplied", r"the png reference library is supplied as is"),
-    ("gpl-2", "general", r"gnu general public license as published by the free software foundation (?:either )?version 2"),
-    ("gpl-3", "general", r"gnu general public license as published by the free software foundation (?:either )?version 3"),
-    ("lgpl-2.1", "lesser", r"gnu lesser general public license as published by the free software foundation (?:either )?version 2 1"),
-    ("lgpl-3", "lesser", r"gnu lesser general public license as published by the free software foundation (?:either )?version 3"),
-    ("agpl-3", "affero", r"gnu affero general public license as published by the free software foundation (?:either )?version 3"),
-    ("gpl-2", "general", r"the gnu general public license is intended to guarantee your freedom to share and change free software"),
-    ("gpl-3", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
-    ("agpl-3", "copyleft", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
-    ("lgpl-2.1", "lesser", r"this license the lesser general public license applies to some specially designated software packages"),
-    ("lgpl-3", "lesser", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
-    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
-    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v ?2 0"),
-    ("epl-1", "eclipse", r"eclipse public license v 1 0"),
-    ("epl-2", "eclipse", r"eclipse public license v 2 0"),
-    ("artistic", "intent", r"the intent of this document is to state the conditions under which a package may be copied"),
-    ("artistic-2", "establishes", r"this license establishes the terms under which a given free software package may be copied"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "fuck", r"you just do what the fuck you want to"),
-    ("python-2", "licensee", r"psf is making python available to licensee on an as is basis"),
-    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
-    ("cc0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
-)
-#: Ways to mention a license, surest first, and how sure each is.
-FORMS = (
-    (r"spdx license identifier {}", 1.0),
-    (r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}(?: international)?(?: licen[sc]e)?", 0.95),
-    (r"(?:under|subject to|governed by) (?:the )?(?:terms of (?:the )?)?{}(?: international)? licen[sc]e", 0.9),
-    (r"{}(?: international)? licen[sc]e(?: v(?:ersion )?[0-9](?: [0-9])?)?", 0.8),
-    (r"licen[sc]e (?:is )?{}", 0.7),
-)
-#: Names that mean a license even without the word: they may stand alone.
-ALONE = frozenset(("gpl", "lgpl", "agpl", "cc", "cc0", "eupl", "cddl", "wtfpl", "unlicense", "creative", "lesser", "affero", "general"))
-ALONE |= {keyword for _, keyword, _ in FAMILIES if re.fullmatch(r"[a-z]+v?[1-3]", keyword)}
-REACH = 24  # words; no detection is longer
+REACH = 64  # words; no detection is longer
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature. Of two detections, one inside the other, the one of smaller ``priority`` stays."""
+    """A signature. ``tier`` is the number of its table and ``order`` its place among all rules."""
 
     label: str
     keyword: str
     pattern: re.Pattern
-    priority: int
+    tier: int
+    order: int
     sureness: float
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order of priority: sentences, then forms in their order, within a form the families in theirs."""
-    found = [Rule(label, keyword, re.compile(rf"(?<!\S){words}(?!\S)"), k, 1.0) for k, (label, keyword, words) in enumerate(SENTENCES)]
-    for form, sureness in (*FORMS, ("{}", 0.6)):
-        for label, keyword, name in FAMILIES:
-            if form != "{}" or keyword in ALONE:
-                found.append(Rule(label, keyword, re.compile(rf"(?<!\S){form.format(f'(?:{name})')}(?!\S)"), len(found), sureness))
-    return tuple(found)
+    """All rules in order of priority."""
+    lines = [(tier, sureness, *line) for tier, (table, sureness) in enumerate(TABLES) for line in table]
+    return tuple(Rule(label, keyword, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), tier, order, sureness) for order, (tier, sureness, label, keyword, pattern) in enumerate(lines))
+
+
+@cache
+def by_keyword() -> dict[str, tuple[Rule, ...]]:
+    found: dict[str, list[Rule]] = {}
+    for rule in rules():
+        found.setdefault(rule.keyword, []).append(rule)
+    return {k: tuple(v) for k, v in found.items()}
 
 
 @dataclass(frozen=True)
@@ -178,32 +57,40 @@ class Detection:
     label: str
     first: int  # word
     last: int
-    priority: int
+    tier: int
+    order: int
     sureness: float
 
 
 def suppress(found: list[Detection]) -> list[Detection]:
-    """Without those that lie inside a detection of higher priority, or inside a longer one of the same form."""
-    kept: list[Detection] = []
-    for x in sorted(found, key=lambda d: (d.priority, d.first, -d.last)):
-        if not any(y.first <= x.first and x.last <= y.last for y in kept):
+    """Without those inside a detection of the same or an earlier table; of equal ones the earlier rule's stays.
+
+    One sweep by first word, longest first, with the furthest end so far of each table: an
+    earlier detection of the sweep holds the present one if it ends no sooner. Whatever
+    holds a suppressed detection holds what that one holds, so suppressed ones count, too.
+    """
+    furthest = [-1] * len(TABLES)
+    kept = []
+    for x in sorted(found, key=lambda d: (d.first, -d.last, d.tier, d.order)):
+        if max(furthest[: x.tier + 1]) < x.last:
             kept.append(x)
-    # A surer form can match a shorter name ("licensed under cc by" in "cc by nc nd 4 0"): the longer name explains it.
-    inside = lambda x, y: y is not x and y.first <= x.last and x.first <= y.last and y.last > x.last and y.label.startswith(x.label + "-")
-    return sorted((x for x in kept if not any(inside(x, y) for y in kept)), key=lambda d: (d.first, d.last, d.priority))
+        furthest[x.tier] = max(furthest[x.tier], x.last)
+    return kept
 
 
 def detect(words: list[str], offset: int = 0) -> list[Detection]:
-    """Detections of all rules in a stretch of words; ``offset`` is the number of its first word."""
-    present = set(words)
+    """Detections of all rules of which the keyword is there; ``offset`` is the number of the first word."""
+    tables = by_keyword()
+    chosen = [rule for word in tables.keys() & set(words) for rule in tables[word]]
+    if not chosen:
+        return []
     text = " ".join(words)
     begins = np.cumsum([0, *(len(w) + 1 for w in words)])
     found = []
-    for rule in rules():
-        if rule.keyword in present:
-            for m in rule.pattern.finditer(text):
-                first, last = np.searchsorted(begins, [m.start(), m.end() - 1], "right") - 1
-                found.append(Detection(rule.label, offset + int(first), offset + int(last), rule.priority, rule.sureness))
+    for rule in chosen:
+        spans = np.array([m.span() for m in rule.pattern.finditer(text)]).reshape(-1, 2)
+        places = np.searchsorted(begins, spans - [0, 1], "right") - 1 + offset
+        found += [Detection(rule.label, first, last, rule.tier, rule.order, rule.sureness) for first, last in places.tolist()]
     return found
 
 
@@ -225,7 +112,7 @@ def _lower(piece: np.ndarray) -> list[str]:
 
 def scan_texts(column: pa.Array) -> Iterator[dict]:
     """One dict per text: n_words, base places, and detections that stay."""
-    keywords = np.unique(_hashes(sorted({r.keyword for r in rules()})))
+    keywords = np.unique(_hashes(sorted(by_keyword())))
     phrases = [(_hashes(p.split()), label) for p, label in BASE_PHRASES]
     data, offsets = utf8(column)
     for a, b in slices(offsets):
