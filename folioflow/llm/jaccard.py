@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._text import _M, SPACES, Words, batch_words, byte_values, mix64, signed
-from ._work import materialise
+from ._work import materialise, temporary
 
 _TABLE = byte_values(SPACES)
 BUCKETS = 1 << 20  # of shingle counts; a fixed size, whatever the corpus
@@ -20,7 +20,8 @@ CHUNK = 1 << 14
 ORDERS = 3
 STARS = 4
 SALTS = 256
-WORDS = 1 << 16
+FEWEST_WORDS, MOST_WORDS = 1 << 16, 1 << 22
+SIDE = 4096
 
 
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -140,10 +141,13 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     members = pairs.select(F.col("b").alias("id"), F.col("a").alias("leader"), "salt", F.lit(1).alias("member"))
     leaders = pairs.select(F.col("a").alias("id"), F.col("a").alias("leader"), "salt", F.lit(0).alias("member")).distinct()
     wanted = members.unionByName(leaders)
-    # A filter of a fixed size lets few other texts into the shuffle.
-    word = lambda x: F.pmod(F.xxhash64(F.lit("bits"), x), F.lit(WORDS)).cast("int")
+    # A filter of eight bits or more for each text that is asked for lets few others into the
+    # shuffle. It is broadcast, so it grows to MOST_WORDS rows of 12 bytes only; beyond some
+    # hundred million texts it lets more others pass, which costs but changes nothing.
+    words = min(MOST_WORDS, max(FEWEST_WORDS, 1 << (pairs.count() // 4).bit_length()))
+    word = lambda x: F.pmod(F.xxhash64(F.lit("bits"), x), F.lit(words)).cast("int")
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit("bit"), x), F.lit(64)).cast("int"))
-    bits = F.broadcast(wanted.select(word(F.col("id")).alias("word"), bit(F.col("id")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))  # at most WORDS rows of 12 bytes
+    bits = F.broadcast(wanted.select(word(F.col("id")).alias("word"), bit(F.col("id")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))  # at most MOST_WORDS rows of 12 bytes
     near = docs.join(bits, (word(F.col("doc_id")) == F.col("word")) & (F.col("bits").bitwiseAND(bit(F.col("doc_id"))) != 0), "left_semi")
     texts = wanted.join(near, F.col("id") == F.col("doc_id"))
     texts = texts.select("leader", "salt", "member", "id", "text").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "id")
@@ -170,64 +174,69 @@ def similar_documents(docs: DataFrame, *, n: int = 4, percent: int = 85) -> Data
     ``n``-word shingles; component_id is the smallest doc_id reachable by links. Documents
     without words or text have an empty set and link with nothing. Rows with equal doc_id
     count as one document; without a doc_id a row links with nothing and its component is
-    null. An empty table gives no rows; other columns are ignored.
+    null. Ids that aren't whole numbers are an error. Very long texts are read whole. An
+    empty table gives no rows; other columns are ignored.
 
     1. Documents with equal sets are one class, and only its smallest doc_id goes on.
     2. Those whose least shingle under one of a few random orders agrees are compared with
        the smallest doc_id among them. This joins large groups of near copies at a cost in
-       proportion to their size.
+       proportion to their size; it only saves work, as the next step finds all links of
+       what is still apart.
     3. Of what is still apart, all pairs that share a prefix shingle are candidates if
        their prefixes meet under every one of ``ORDERS`` global orders; all of these are
        verified. No candidate is dropped, so no link between components is lost.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = materialise(summarise(docs, n), "shingles")
-    classes = frequency_classes(summary.filter("chunk IS NOT NULL"))
-    summary = summary.filter("chunk IS NULL").select("doc_id", "n", "print_1", "print_2", "least")
-    whole = summary.filter("n > 0 AND doc_id IS NOT NULL")
-    groups = materialise(whole.groupBy("n", "print_1", "print_2").agg(F.min("doc_id").alias("id")), "classes")
-    named = materialise(whole.join(groups, ["n", "print_1", "print_2"]).select("doc_id", "n", "id", F.when(F.col("doc_id") == F.col("id"), F.col("least")).alias("least")), "named")
-    chosen = named.filter("doc_id = id").dropDuplicates(["doc_id"]).select("doc_id", "n", "least")
-
-    stars = chosen.select("doc_id", "n", F.posexplode("least").alias("star", "least"))
-    heads = materialise(stars.groupBy(F.col("star").alias("h_star"), F.col("least").alias("h_least")).agg(F.min_by("n", "doc_id").alias("h_n"), F.min("doc_id").alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    near = stars.join(heads, (F.col("star") == F.col("h_star")) & (F.col("least") == F.col("h_least"))).filter((F.col("doc_id") != F.col("head")) & alike(F.col("n"), F.col("h_n")))
-    links = materialise(verify(near.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), docs, n, percent), "links")
-    parts = components(links)
-    placed = materialise(chosen.select("doc_id", "n").join(parts.withColumnRenamed("id", "p_id"), F.col("doc_id") == F.col("p_id"), "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("part")), "parts")
-
-    ordered = materialise(prefixes(docs.filter("doc_id IS NOT NULL"), classes, n, percent), "prefixes")
-    postings = ordered.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    common = postings.groupBy(F.col("token").alias("c_token")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("c_token")
-    shared = postings.join(materialise(common, "common"), F.col("token") == F.col("c_token"), "left_semi")
-    shared = materialise(shared.join(placed.withColumnRenamed("doc_id", "p_id"), F.col("doc_id") == F.col("p_id")).select("token", "pos", "doc_id", "n", "part"), "shared")
-    # Shingles within one component only have nothing left to tell. Of the others, the
-    # documents outside a shingle's largest component meet all documents of another one.
-    sides = shared.groupBy("token", "part").count()
-    sides = sides.groupBy(F.col("token").alias("s_token")).agg(F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("main")).filter("parts > 1").select("s_token", "main")
-    shared = materialise(shared.join(materialise(sides, "sides"), F.col("token") == F.col("s_token")).drop("s_token"), "shared")
-    left = shared.filter("part <> main").select(*(F.col(c).alias(f"l_{c}") for c in shared.columns))
-    right = shared.select(*(F.col(c).alias(f"r_{c}") for c in shared.columns))
-    # Similar sets share so many shingles at least, so the first shared one has a place early enough in both.
-    overlap = lambda x, y: F.ceil((x + y) * percent / (100 + percent))
-    least = overlap(F.col("l_n"), F.col("r_n"))
-    apart = (F.col("l_part") != F.col("r_part")) & ((F.col("r_part") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
-    early = (F.col("l_pos") <= F.col("l_n") - least) & (F.col("r_pos") <= F.col("r_n") - least)
-    pairs = left.join(right, (F.col("l_token") == F.col("r_token")) & apart & alike(F.col("l_n"), F.col("r_n")) & early)
-    pairs = materialise(pairs.select(F.least("l_doc_id", "r_doc_id").alias("a"), F.greatest("l_doc_id", "r_doc_id").alias("b")).distinct(), "candidates")
-    others = [f"prefix_{k}" for k in range(1, ORDERS)]
-    first = ordered.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), *(F.col(c).alias(f"a_{c}") for c in others))
-    second = ordered.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), *(F.col(c).alias(f"b_{c}") for c in others))
-    least = overlap(F.col("a_n"), F.col("b_n"))
-    begins = lambda side, c: F.slice(f"{side}_{c}", F.lit(1), F.greatest(F.lit(0), F.col(f"{side}_n") - least + 1).cast("int"))
-    meeting = pairs.join(first, "a").join(second, "b").filter(alike(F.col("a_n"), F.col("b_n")))
-    for c in others:
-        meeting = meeting.filter(F.arrays_overlap(begins("a", c), begins("b", c)))
-    late = materialise(verify(meeting.select("a", "b").distinct(), docs, n, percent), "links")
-    parts = components(links.unionByName(late))
-    final = named.select("doc_id", "id").distinct().join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").groupBy(F.col("doc_id").alias("f_id")).agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
-    return summary.join(materialise(final, "components"), F.col("doc_id") == F.col("f_id"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with temporary(docs.sparkSession):
+        summary = materialise(summarise(docs, n), "shingles", keep=True)
+        classes = frequency_classes(summary.filter("chunk IS NOT NULL"))
+        summary = summary.filter("chunk IS NULL").select("doc_id", "n", "print_1", "print_2", "least")
+        whole = summary.filter("n > 0 AND doc_id IS NOT NULL")
+        groups = materialise(whole.groupBy("n", "print_1", "print_2").agg(F.min("doc_id").alias("id")), "classes")
+        named = materialise(whole.join(groups, ["n", "print_1", "print_2"]).select("doc_id", "n", "id", F.when(F.col("doc_id") == F.col("id"), F.col("least")).alias("least")), "named")
+        chosen = named.filter("doc_id = id").dropDuplicates(["doc_id"]).select("doc_id", "n", "least")
+
+        stars = chosen.select("doc_id", "n", F.posexplode("least").alias("star", "least"))
+        heads = materialise(stars.groupBy(F.col("star").alias("h_star"), F.col("least").alias("h_least")).agg(F.min_by("n", "doc_id").alias("h_n"), F.min("doc_id").alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
+        alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+        near = stars.join(heads, (F.col("star") == F.col("h_star")) & (F.col("least") == F.col("h_least"))).filter((F.col("doc_id") != F.col("head")) & alike(F.col("n"), F.col("h_n")))
+        links = materialise(verify(near.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), docs, n, percent), "links")
+        parts = components(links)
+        placed = materialise(chosen.select("doc_id", "n").join(parts.withColumnRenamed("id", "p_id"), F.col("doc_id") == F.col("p_id"), "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("part")), "parts")
+
+        ordered = materialise(prefixes(docs.filter("doc_id IS NOT NULL"), classes, n, percent), "prefixes")
+        postings = ordered.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+        common = postings.groupBy(F.col("token").alias("c_token")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("c_token")
+        shared = postings.join(materialise(common, "common"), F.col("token") == F.col("c_token"), "left_semi")
+        shared = materialise(shared.join(placed.withColumnRenamed("doc_id", "p_id"), F.col("doc_id") == F.col("p_id")).select("token", "pos", "doc_id", "n", "part"), "shared")
+        # Shingles within one component only have nothing left to tell. Of the others, the
+        # documents outside a shingle's largest component meet all documents of another one.
+        sides = shared.groupBy("token", "part").count()
+        sides = sides.groupBy(F.col("token").alias("s_token")).agg(F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("main"), F.ceil((F.sum("count") - F.max("count")) / SIDE).cast("int").alias("salts")).filter("parts > 1").select("s_token", "main", "salts")
+        shared = materialise(shared.join(materialise(sides, "sides"), F.col("token") == F.col("s_token")).drop("s_token"), "shared")
+        # A shingle with many documents outside its main component has them in so many parts.
+        left = shared.filter("part <> main").select(*(F.col(c).alias(f"l_{c}") for c in shared.columns), F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("l_salt"))
+        right = shared.select(*(F.col(c).alias(f"r_{c}") for c in shared.columns), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("r_salt"))
+        # Similar sets share so many shingles at least, so the first shared one has a place early enough in both.
+        overlap = lambda x, y: F.ceil((x + y) * percent / (100 + percent))
+        least = overlap(F.col("l_n"), F.col("r_n"))
+        apart = (F.col("l_part") != F.col("r_part")) & ((F.col("r_part") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
+        early = (F.col("l_pos") <= F.col("l_n") - least) & (F.col("r_pos") <= F.col("r_n") - least)
+        pairs = left.join(right, (F.col("l_token") == F.col("r_token")) & (F.col("l_salt") == F.col("r_salt")) & apart & alike(F.col("l_n"), F.col("r_n")) & early)
+        pairs = materialise(pairs.select(F.least("l_doc_id", "r_doc_id").alias("a"), F.greatest("l_doc_id", "r_doc_id").alias("b")).distinct(), "candidates")
+        others = [f"prefix_{k}" for k in range(1, ORDERS)]
+        first = ordered.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), *(F.col(c).alias(f"a_{c}") for c in others))
+        second = ordered.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), *(F.col(c).alias(f"b_{c}") for c in others))
+        least = overlap(F.col("a_n"), F.col("b_n"))
+        begins = lambda side, c: F.slice(f"{side}_{c}", F.lit(1), F.greatest(F.lit(0), F.col(f"{side}_n") - least + 1).cast("int"))
+        meeting = pairs.join(first, "a").join(second, "b").filter(alike(F.col("a_n"), F.col("b_n")))
+        for c in others:
+            meeting = meeting.filter(F.arrays_overlap(begins("a", c), begins("b", c)))
+        late = materialise(verify(meeting.select("a", "b").distinct(), docs, n, percent), "links")
+        parts = components(links.unionByName(late))
+        final = named.select("doc_id", "id").distinct().join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").groupBy(F.col("doc_id").alias("f_id")).agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
+        final = materialise(final, "components", keep=True)
+    return summary.join(final, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, **options) -> DataFrame:

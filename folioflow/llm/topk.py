@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import materialise
+from ._work import materialise, temporary
 
 
 def usable(vector: Column) -> Column:
@@ -122,7 +122,8 @@ def top_k(vectors: DataFrame, *, k: int = 5, query_step: int = 50, shard_rows: i
 
     Returns query_id, rank (from 1), vec_id, score. Ties go to the smaller id. Rows whose
     id or vector is null, or whose vector holds null or non-finite components, take no
-    part; vectors meet only those of their own length. A query is compared with every
+    part; vectors meet only those of their own length. Ids that aren't whole numbers are an
+    error. A query is compared with every
     row of another id; equal queries (repeated rows) are answered once, and repeated
     candidates count one by one. Scores are exact while they fit in a long. An empty
     table gives no rows; other columns are ignored.
@@ -142,11 +143,10 @@ def top_k(vectors: DataFrame, *, k: int = 5, query_step: int = 50, shard_rows: i
         tree = Tree.build(_matrix(table.column("q"), dims).astype(np.int64), table.column("vec_id").to_numpy())
         return pa.Table.from_pylist([{"dims": dims, "shard": key[1].as_py(), **tree.packed()}], pa.schema([("dims", pa.int32()), ("shard", pa.int32()), *((n, pa.binary()) for n in Tree.FIELDS)]))
 
-    trees = materialise(rows.groupBy("dims", "shard").applyInArrow(plant, "dims int, shard int, " + ", ".join(f"{n} binary" for n in Tree.FIELDS)), "kd-trees")
+    trees = rows.groupBy("dims", "shard").applyInArrow(plant, "dims int, shard int, " + ", ".join(f"{n} binary" for n in Tree.FIELDS))
     queries = rows.filter(F.col("vec_id") % query_step == 0).distinct()
     blocks = max(1, -(-queries.count() // block))
     queries = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    planted_trees = trees.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dims", "shard", "query_block"]
 
     def search(key: tuple, tree: pa.Table, asked: pa.Table) -> pa.Table:
@@ -159,15 +159,18 @@ def top_k(vectors: DataFrame, *, k: int = 5, query_step: int = 50, shard_rows: i
             found += [(own, i, score) for score, i in planted.search(query, own, k, kth)]
         return pa.table([pa.array([f[n] for f in found], pa.int64()) for n in range(3)], schema=HITS)
 
-    def ask(asked: DataFrame) -> DataFrame:
-        return planted_trees.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-
-    home = materialise(ask(queries.withColumn("kth", F.lit(None).cast("long"))), "top-k-home")
-    known = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    others = queries.join(known, F.col("vec_id") == F.col("query_id"), "left").withColumnRenamed("shard", "home").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
-    hits = home
-    if shards > 1:
-        hits = home.unionByName(ask(others.select(*keys, "vec_id", "q", "kth")))
+    def ask(trees: DataFrame, asked: DataFrame) -> DataFrame:
+        planted = trees.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return planted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+
+    with temporary(spark):
+        trees = materialise(trees, "kd-trees")
+        hits = home = materialise(ask(trees, queries.withColumn("kth", F.lit(None).cast("long"))), "top-k-home")
+        known = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        others = queries.join(known, F.col("vec_id") == F.col("query_id"), "left").withColumnRenamed("shard", "home").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
+        if shards > 1:
+            hits = home.unionByName(ask(trees, others.select(*keys, "vec_id", "q", "kth")))
+        hits = materialise(hits, "top-k", keep=True)  # at most k rows per query and shard
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -108,7 +108,8 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 1000, part_bytes: int = 1 << 30) -> DataFrame:
     """Write every page as a record to archives in ``folder`` and return the index, already stored.
 
-    ``folder`` is a URI that all machines share. Each task writes files of its own under
+    ``folder`` is a URI that all machines share, of a kind that Arrow knows (file, hdfs, s3,
+    gs, abfs); other kinds that only Spark reads are an error. Each task writes files of its own under
     names that no other attempt uses, and the index has only what finished tasks report:
     a file left by a lost executor is not in it. Files are closed at ``part_bytes``.
     Null urls give records without a target; line ends in urls become a space. An empty
@@ -119,23 +120,25 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 1000, pa
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
         out, name, offset = None, "", 0
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if out is None:
-                    name, offset = f"pages-{uuid.uuid4().hex}.warc.gz", 0
-                    store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(f"{root}/{name}", compression=None)
-                member = record(row["page_id"], row["url"], row["payload_bytes"], row["payload_sha1"], row["record_type"], row["refers_to"], row["payload"])
-                out.write(member)
-                rows.append((name, offset, len(member), row["page_id"], row["url"], row["payload_sha1"], row["record_type"]))
-                offset += len(member)
-                if offset >= part_bytes:
-                    out.close()
-                    out = None
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-        if out is not None:
-            out.close()
+        try:
+            for batch in batches:
+                rows = []
+                for row in batch.to_pylist():
+                    if out is None:
+                        name, offset = f"pages-{uuid.uuid4().hex}.warc.gz", 0
+                        store.create_dir(root, recursive=True)
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    member = record(row["page_id"], row["url"], row["payload_bytes"], row["payload_sha1"], row["record_type"], row["refers_to"], row["payload"])
+                    out.write(member)
+                    rows.append((name, offset, len(member), row["page_id"], row["url"], row["payload_sha1"], row["record_type"]))
+                    offset += len(member)
+                    if offset >= part_bytes:
+                        out.close()
+                        out = None
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+        finally:
+            if out is not None:
+                out.close()
 
     return materialise(classify(pages, least_bytes=least_bytes).mapInArrow(write, INDEX), "warc-index")
 
@@ -144,7 +147,9 @@ def read_records(index: DataFrame, folder: str, *, range_bytes: int = 8 << 20, g
     """Read the records of the rows of ``index`` (all or some), each range of bytes at once.
 
     Rows are sorted by file and offset; neighbours at most ``gap_bytes`` apart within the
-    same ``range_bytes`` of a file form one read. Ranges are dealt out to tasks.
+    same ``range_bytes`` of a file form one read. Ranges are dealt out to tasks. Repeated
+    rows of the index give repeated records; a damaged record is an error; an empty index
+    gives no rows. Records without a page_id have a null one.
     """
     span = Window.partitionBy("file", "block").orderBy("offset")
     rows = index.select("file", "offset", "length", F.floor(F.col("offset") / range_bytes).alias("block"))
@@ -169,7 +174,12 @@ def read_records(index: DataFrame, folder: str, *, range_bytes: int = 8 << 20, g
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read every record back."""
+    """Write ``pages`` to archives in the shared folder and read every record back.
+
+    One row per page with its whole payload (revisits: null). Null html is an empty payload;
+    null urls and page_ids stay null; repeated rows are records of their own; other columns,
+    whatever their names, are ignored; an empty table gives no rows.
+    """
     folder = fresh_dir(pages.sparkSession, "warc")
     return read_records(write_archives(pages, folder), folder)
 
