@@ -480,3 +480,68 @@ def test_network_is_a_distribution_and_gradients_are_right():
         assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(float(grads[name][at]), rel=0.05, abs=1e-2)
     net.class_bias[:] = [90.0, 0.0]  # would overflow
     assert np.isfinite(net.log_probabilities(around, target)).all()
+
+
+def test_reader_agrees_with_the_network():
+    rng = np.random.default_rng(0)
+    net = langid.Network.fresh(["a", "b", "c"], 8, rng)
+    text = rng.integers(0, 256, (langid.WINDOW, 20)).astype(np.uint8)
+    assert langid.Reader(net).probabilities(text).transpose(0, 2, 1) == pytest.approx(langid._softmax(net.logits(text)), abs=1e-5)
+    long = rng.integers(97, 123, 100_000).astype(np.uint8)  # a very long text: the mean over its windows
+    pooled = langid.predict(net, long, np.array([0, len(long), len(long)]))
+    whole = len(long) // langid.WINDOW * langid.WINDOW
+    windows = langid._softmax(net.logits(long[:whole].reshape(-1, langid.WINDOW).T))
+    assert pooled[0] == pytest.approx(windows.reshape(-1, 3).mean(0), abs=1e-3) and (pooled[1] == 0).all()
+
+
+def test_warc_reads_a_part_of_the_index(spark, tmp_path):
+    rows = [(i if i % 7 else None, f"u{i}", f"page {i} " * (40 * (i % 5))) for i in range(60)] + [(3, "u3", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(pages, f"file://{tmp_path}/archive")
+    some = index.filter("url IN ('u1', 'u2', 'u30', 'u7', 'u3')")
+    for gap in (0, 1 << 20):  # each record by itself, or neighbours at once
+        got = warc.read_records(some, f"file://{tmp_path}/archive", gap_bytes=gap).collect()
+        assert sorted((r.url, bytes(r.payload).decode()) for r in got) == sorted((u, h) for _, u, h in rows if u in ("u1", "u2", "u30", "u7", "u3"))
+    assert {r.page_id for r in got} == {1, 2, 30, None, 3}
+    assert warc.read_records(some.limit(0), f"file://{tmp_path}/archive").count() == 0
+
+
+def test_jaccard_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, long), (2, long.replace("w7 ", "other ")), (3, long[: len(long) // 2])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs).collect()}
+    assert got[1] == (29_997, 1) and got[2][1] == 1 and got[3][1] == 3
+
+
+def test_pipeline_stages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(5)
+    letters = {"en": "etaoin", "de": "xyzwvu"}
+    line = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+    rows = [(i, line("de" if i % 3 == 0 else "en", 60), "de" if i % 3 == 0 else "en", f"s{i % 4}", 0) for i in range(160)]
+    rows = [(i, t + (" horrible" if i % 8 == 0 else ""), lang, s, n) for i, t, lang, s, n in rows]
+    rows += [(200, rows[1][1] + " end", "en", "s1", 0), rows[2], (201, None, "en", "s0", 0), (202, "", None, None, 0), (203, "12 34 !", "en", "s0", 0), (204, line("en", 20_000), "en", "s9", 0), (None, line("en", 50), None, None, 0)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(160)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns
+        kept.append([r.asDict() for r in out.collect()])
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    ids = [sorted((r["doc_id"] is None, r["doc_id"]) for r in x) for x in kept]
+    key = lambda r: (r[0] is None, r[0])
+    assert ids[0] == sorted(key(r) for r in rows if r[0] not in (201, 202, 203))
+    assert ids[1] == [x for x in ids[0] if x[0] or x[1] >= 160 or x[1] % 8]
+    assert ids[2] == sorted(set(ids[1]) - {(False, 200)})
+    words = lambda x: sum(len((r["text"] or "").split()) for r in x)
+    assert words(kept[3]) == int(1.5 * words(kept[2])) and {r["doc_id"] for r in kept[3]} <= {r["doc_id"] for r in kept[2]}
+    packed = kept[4]
+    whole = {(r["doc_id"], r["doc_tokens"]) for r in packed}
+    assert sum(r["length"] for r in packed) >= sum(n for _, n in whole) and {i for i, _ in whole} == {r["doc_id"] for r in kept[3]}
+    assert pipeline.run(spark, str(tmp_path)).count() == len(packed)
+    none = spark.createDataFrame([], columns)
+    assert all(stage(spark, none, str(tmp_path)).count() == 0 for _, stage in pipeline.STAGES)
