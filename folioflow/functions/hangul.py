@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import nfkc
+
 # Fixed values of the Unicode block: 19 initials, each with 21 vowels and 28 finals.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 FINALS = "ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
 FIRST, LAST = 0xAC00, 0xD7A3
-#: Doubled initials share the group of the plain one.
+#: Fixed values of the writing system: doubled initials share the group of the plain one.
 FOLDED = {"ㄲ": "ㄱ", "ㄸ": "ㄷ", "ㅃ": "ㅂ", "ㅆ": "ㅅ", "ㅉ": "ㅈ"}
 
 
@@ -43,7 +45,9 @@ def jamo(text: Column) -> Column:
 
 def group_key(title: Column) -> Column:
     """The index letter of a title: Hangul initial (doubled ones folded), A-Z, kana, han, or # for the rest."""
-    letter = F.upper(F.substring(F.trim(title), 1, 1))
+    first = F.substring(F.trim(title), 1, 1)
+    # The compatibility form of single consonants is another block, so these stay as they are.
+    letter = F.when(F.ascii(first).between(0x3131, 0x314E), first).otherwise(F.upper(F.substring(nfkc(first), 1, 1)))
     code = F.ascii(letter)
     initial = initials(letter)
     folded = initial
@@ -51,7 +55,7 @@ def group_key(title: Column) -> Column:
         folded = F.when(initial == double, plain).otherwise(folded)
     return (
         F.when(code.between(FIRST, LAST) | code.between(0x3131, 0x314E), folded).when(code.between(65, 90), letter)
-        .when(code.between(0x3040, 0x30FF), "kana").when(code.between(0x4E00, 0x9FFF), "han").otherwise("#")
+        .when(code.between(0x3040, 0x30FF), "kana").when(code.between(0x3400, 0x4DBF) | code.between(0x4E00, 0x9FFF), "han").otherwise("#")
     )
 
 

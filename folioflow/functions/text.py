@@ -1,26 +1,42 @@
-"""Text functions that stay in the JVM."""
+"""Text functions that stay in the JVM, but for Unicode's compatibility form."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Between fields of a searchable row, so that a word never spans two of them.
 FIELD_BREAK = "\x01"
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Unicode's compatibility form, which SQL lacks; null stays null. ASCII texts are passed through."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 def squeezed(text: Column) -> Column:
-    """Lower case without white space; null is empty."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")
+    """Compatibility form in lower case without white space; null is empty."""
+    return F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"\s+", "")
 
 
 def searchable(*fields: Column) -> Column:
-    return F.concat_ws(FIELD_BREAK, *(squeezed(f) for f in fields))
+    """All fields in one column to be searched; made once, when an index is written."""
+    return F.regexp_replace(F.lower(nfkc(F.concat_ws(FIELD_BREAK, *(F.coalesce(f, F.lit("")) for f in fields)))), r"\s+", "")
+
+
+def query_words(query: str) -> list[str]:
+    """The words of a query in the form that ``searchable`` columns hold."""
+    return unicodedata.normalize("NFKC", query).lower().split()
 
 
 def contains_words(haystack: Column, query: str, every: bool = True) -> Column:
     """Whether all (or any) words of the query stand in a ``searchable`` column; an empty query matches."""
-    found = [F.contains(haystack, squeezed(F.lit(word))) for word in query.split()]
+    found = [F.contains(haystack, F.lit(word)) for word in query_words(query)]
     if not found:
         return F.lit(True)
     out = found[0]

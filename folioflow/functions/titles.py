@@ -22,42 +22,83 @@ def key(text: Column) -> Column:
 
 
 TAGS = r"^\s*(?:(?:\[[^\]]*\]|\([^)]*\)|【[^】]*】|<[^>]*>)\s*)+"
-STATUS = r"\s*[\[(]?(완결|완|完|연재중|휴재|end)[\])]?\s*$"
-#: Episode syntaxes in order of priority; group 1 is the first episode, group 2 the last of a range.
-EPISODES = (
-    r"(?:제\s*)?(\d+(?:\.\d+)?)\s*(?:[-~]\s*(\d+(?:\.\d+)?)\s*)?(?:화|편|회|장)\s*$",
-    r"(?:ep|episode|chapter|ch)\.?\s*(\d+(?:\.\d+)?)(?:\s*[-~]\s*(\d+(?:\.\d+)?))?\s*$",
-    r"#\s*(\d+(?:\.\d+)?)(?:\s*[-~]\s*(\d+(?:\.\d+)?))?\s*$",
-    r"[\[(]\s*(\d+(?:\.\d+)?)(?:\s*[-~]\s*(\d+(?:\.\d+)?))?\s*[\])]\s*$",
-    r"(?:^|\s)-?\s*(\d+(?:\.\d+)?)(?:\s*[-~]\s*(\d+(?:\.\d+)?))?\s*$",
+#: The tags that may stand before a title, status marks, and the ranks of special episodes.
+LEADING = r"^(?:\s*\[(?:연재|번역|aa|팬픽|소설|작품)\]\s*)+"
+STATUS = r"\s*(?:\((완|완결|수정|재업)\)|\[(완|완결|수정|재업)\]|(完))\s*$"
+SPECIALS = {"프롤로그": 0, "서장": 0, "prologue": 0, "막간": 1, "interlude": 1, "외전": 2, "특별편": 2, "에필로그": 3, "epilogue": 3}
+_NUMBER = r"(\d+(?:\.\d+)?)"
+#: Episode forms in order of priority, and their groups: season, volume, first, last episode, subtitle (0: none).
+FORMS = (
+    (rf"((?:(\d+)\s*(?:기|시즌|season)\s*)?(?:(?:제\s*)?(\d+)\s*(?:권|부|volume|vol\.?|part)\s*)?(?:제\s*)?{_NUMBER}(?:\s*[~-]\s*{_NUMBER})?\s*(?:화|話|회|장|편|chapter|ch\.?|episode|ep\.?))\s*$", (2, 3, 4, 5, 0)),
+    (r"(#\s*(\d+))\s*$", (0, 0, 2, 0, 0)),
+    (r"(\(\s*(\d+)\s*\))\s*$", (0, 0, 2, 0, 0)),
+    (r"(\[\s*(\d+)\s*\])\s*$", (0, 0, 2, 0, 0)),
+    (rf"((?:chapter|ch\.?|episode|ep\.?)\s*{_NUMBER})\s*$", (0, 0, 2, 0, 0)),
+    (rf"((?:제\s*)?{_NUMBER}\s*(?:화|話|회|장|편))\s*[:：]\s*(.+)$", (0, 0, 2, 0, 3)),
 )
-SPECIALS = {"프롤로그": 0, "prologue": 0, "외전": 2, "번외": 2, "에필로그": 3, "epilogue": 3}
+SEPARATOR = r"[\s:：/\-–—·]+$"
 
 
 def parse(title: Column) -> Column:
-    """struct(base, class, start, end, status, reason) of a folded title.
+    """struct(base, label, season, volume, class, start, end, status, subtitle, reason) of a folded title.
 
-    class is 0 for prologues, 1 for numbered episodes, 2 for side stories and 3 for
-    epilogues. reason is reversed_range or no_episode where there is no order.
+    class is 0 for prologues, 1 for episodes and interludes, 2 for side stories and 3 for
+    epilogues; (season, volume, class, start, end) is the order of a work's episodes. reason
+    is reversed_range or mismatched_bracket for titles that look numbered but aren't, and
+    no_episode where nothing tells the place. Patterns are tried in order of priority.
     """
-    bare = F.regexp_replace(title, TAGS, "")
-    status = F.nullif(F.regexp_extract(bare, STATUS, 1), F.lit(""))
-    bare = F.regexp_replace(bare, STATUS, "")
-    start, end, base = F.lit(None).cast("decimal(20,6)"), F.lit(None).cast("decimal(20,6)"), F.lit(None).cast("string")
-    for pattern in reversed(EPISODES):
-        hit = F.regexp_like(bare, F.lit(pattern))
-        first, last = F.regexp_extract(bare, pattern, 1), F.regexp_extract(bare, pattern, 2)
-        start = F.when(hit, first.try_cast("decimal(20,6)")).otherwise(start)
-        end = F.when(hit, F.coalesce(F.nullif(last, F.lit("")), first).try_cast("decimal(20,6)")).otherwise(end)
-        base = F.when(hit, F.regexp_replace(bare, pattern, "")).otherwise(base)
-    kind = F.when(start.isNotNull(), 1)
-    for word, number in SPECIALS.items():
-        special = F.endswith(F.trim(bare), F.lit(word)) & start.isNull()
-        kind = F.when(special, number).otherwise(kind)
-        base = F.when(special, F.regexp_replace(F.trim(bare), word + "$", "")).otherwise(base)
-    reason = F.when(kind.isNull(), "no_episode").when(start > end, "reversed_range")
-    clean = F.trim(F.regexp_replace(F.coalesce(base, bare), r"[\s\-:~]+$", ""))
-    return F.struct(clean.alias("base"), kind.alias("class"), start.alias("start"), end.alias("end"), status.alias("status"), reason.alias("reason"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.replace(title, F.lit("～"), F.lit("~")), F.lit("〜"), F.lit("~")), LEADING, ""), r"\s+", " "))
+    status = lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, STATUS, k), F.lit("")) for k in (1, 2, 3)))
+    whole = lambda t: F.struct(F.regexp_replace(t, STATUS, "").alias("bare"), status(t).alias("status"))
+    return _let(bare, lambda t: _let(whole(t), lambda w: _let(_episode(w["bare"]), lambda found: _placed(w["bare"], w["status"], found))))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it stands in the result."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _episode(bare: Column) -> Column:
+    """struct(label, season, volume, start, end, subtitle, base) by the first of ``FORMS`` that fits, all null without."""
+    nothing = F.lit(None).cast("string")
+    found = F.struct(*(nothing.alias(n) for n in ("label", "season", "volume", "start", "end", "subtitle", "base")))
+    for pattern, groups in reversed(FORMS):
+        part = lambda k, pattern=pattern: F.nullif(F.regexp_extract(bare, pattern, k), F.lit("")) if k else nothing
+        season, volume, first, last, subtitle = groups
+        hit = F.struct(
+            F.trim(part(1)).alias("label"), part(season).alias("season"), part(volume).alias("volume"), part(first).alias("start"), part(last).alias("end"),
+            part(subtitle).alias("subtitle"), F.regexp_replace(bare, pattern, "").alias("base"),
+        )
+        found = F.when(F.regexp_like(bare, F.lit(pattern)), hit).otherwise(found)
+    return found
+
+
+def _placed(bare: Column, status: Column, found: Column) -> Column:
+    numbered = found["label"].isNotNull()
+    start, end = found["start"].try_cast("decimal(20,6)"), F.coalesce(found["end"], found["start"]).try_cast("decimal(20,6)")
+    base = F.regexp_replace(found["base"], SEPARATOR, "")
+    side = numbered & F.regexp_like(base, F.lit(r"(?:^|\s)(?:외전|특별편)\s*$"))
+    word = F.nullif(F.regexp_extract(bare, rf"({'|'.join(SPECIALS)})\s*$", 1), F.lit(""))
+    special = ~numbered & word.isNotNull()
+    rank = F.element_at(F.create_map(*(F.lit(x) for pair in SPECIALS.items() for x in pair)), F.coalesce(word, F.lit("외전")))
+    reversed_range = numbered & (end < start)
+    reason = F.when(reversed_range, "reversed_range").when(~numbered & ~special & F.regexp_like(bare, F.lit(r"[(\[]\s*\d+\s*[)\]]\s*$")), "mismatched_bracket").when(~numbered & ~special, "no_episode")
+    good = reason.isNull()
+    clean = F.when(side, F.trim(F.regexp_replace(base, r"(?:^|\s)(?:외전|특별편)\s*$", ""))).when(numbered & good, F.trim(base))
+    clean = clean.when(special, F.trim(F.regexp_replace(F.regexp_replace(bare, rf"({'|'.join(SPECIALS)})\s*$", ""), SEPARATOR, ""))).otherwise(bare)
+    zero = F.lit(0).cast("decimal(20,6)")
+    return F.struct(
+        clean.alias("base"), F.when(good, F.coalesce(found["label"], word)).alias("label"),
+        F.when(good, F.coalesce(found["season"].try_cast("int"), F.lit(0))).alias("season"), F.when(good, F.coalesce(found["volume"].try_cast("int"), F.lit(0))).alias("volume"),
+        F.when(good, F.when(special, rank).when(side, 2).otherwise(1)).alias("class"), F.when(good, F.coalesce(start, zero)).alias("start"), F.when(good, F.coalesce(end, zero)).alias("end"),
+        status.alias("status"), found["subtitle"].alias("subtitle"), reason.alias("reason"),
+    )
+
+
+def display_title(title: Column, label: Column) -> Column:
+    """The title in its own spelling without the episode label at its end; the label is found in any case."""
+    ends = label.isNotNull() & F.endswith(F.lower(F.rtrim(title)), F.lower(label))
+    return F.when(ends, F.trim(F.regexp_replace(F.substring(F.rtrim(title), F.lit(1), F.length(F.rtrim(title)) - F.length(label)), SEPARATOR, ""))).otherwise(F.trim(title))
 
 
 def series_key(title: Column, author: Column) -> Column:
@@ -78,6 +119,14 @@ def reading_minutes(text: Column, per_minute: int = 500) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a, 32 bits, over the code points of a text."""
-    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(points, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619).cast("long"), F.lit(4294967296).cast("long")))
+    """FNV-1a, 32 bits, over the UTF-16 units of a text."""
+    point = lambda c: F.ascii(c).cast("long")
+    beyond = lambda c: F.array(F.lit(0xD800) + F.floor((point(c) - 0x10000) / 1024), F.lit(0xDC00) + F.pmod(point(c), F.lit(1024)))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    units = F.flatten(F.transform(letters, lambda c: F.when(point(c) >= 0x10000, beyond(c)).otherwise(F.array(point(c)))))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619).cast("long"), F.lit(4294967296).cast("long")))
+
+
+def hue(title: Column, hues: int = 10) -> Column:
+    """The colour number of a title's cover."""
+    return F.pmod(fnv1a(title), F.lit(hues)).cast("int")

@@ -37,3 +37,8 @@ def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         F.count_if(F.col("in_right").isNull()).alias("only_left"),
         F.count_if(F.col("in_left").isNull()).alias("only_right"),
     )
+
+
+def numbered(rows: DataFrame, *order: Column, keys: list[str] | tuple = ()) -> DataFrame:
+    """Adds place, from 1, in ``order`` within each key (without keys: of a few rows only, in one task)."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

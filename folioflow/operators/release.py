@@ -41,8 +41,8 @@ def garbage(objects: DataFrame, releases: list[DataFrame], key: str, old_enough:
 
 
 def fingerprint(rows: DataFrame, keys: list[str], *fields: str) -> DataFrame:
-    """Count and order-free hash of the rows per key; equal tables give equal fingerprints."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*fields)).alias("fingerprint"))
+    """Count and order-free hash of the rows per key: a sum, so repeated rows count; equal tables give equal fingerprints."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*fields).cast("decimal(38,0)")).alias("fingerprint"))
 
 
 def entry_view(entries: DataFrame, posts: DataFrame, collection: str, position: str, post: str) -> DataFrame:

@@ -36,9 +36,12 @@ def facets(rows: DataFrame, keys: list[str], label: Column, normal: Column) -> D
 
 
 def keyword_in_context(docs: DataFrame, word: str, before: int = 36, after: int = 36) -> DataFrame:
-    """(id, hit, start, before, exact, after) of each place where the word stands in a text, without overlaps."""
-    pieces = F.split(F.lower("text"), rf"\Q{word.lower()}\E")
-    rows = docs.filter(F.contains(F.lower("text"), F.lit(word.lower()))).select("id", "text", F.posexplode(F.transform(pieces, F.length)).alias("hit", "size"))
+    """(id, hit, start, before, exact, after) of each place where the word stands in a text, in any case, without overlaps.
+
+    Places are of the text itself, whatever its lower case looks like. One text's hits are in one task.
+    """
+    pattern = r"(?iu)\Q" + word.replace("\\E", r"\E\\E\Q") + r"\E"
+    rows = docs.filter(F.regexp_like("text", F.lit(pattern))).select("id", "text", F.posexplode(F.transform(F.split("text", pattern), F.length)).alias("hit", "size"))
     upto = Window.partitionBy("id").orderBy("hit").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum("size").over(upto) + F.col("hit") * len(word)).withColumn("pieces", F.max("hit").over(Window.partitionBy("id")))
     begin = F.greatest(F.lit(0), F.col("start") - before)
@@ -87,7 +90,8 @@ def term_index(docs: DataFrame, key: str, text: Column, trigrams: bool = False)
     """(term, documents, places, bytes) of the words or letter trigrams of all texts."""
     if trigrams:
         whole = F.coalesce(text, F.lit(""))
-        terms = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - 2, F.lit(1))), lambda i: F.substring(whole, i, F.lit(3)))
+        letters = F.filter(F.split(whole, ""), lambda c: c != "")  # split once: a place in a text of many bytes is found by counting
+        terms = F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - 2, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, F.lit(3)), ""))
     else:
         terms = F.split(F.coalesce(text, F.lit("")), r"[ \t\n\f\r]+")
     rows = docs.select(key, F.explode(terms).alias("term")).filter("term <> ''")

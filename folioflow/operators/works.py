@@ -17,10 +17,18 @@ def preview(posts: DataFrame, block: list[str], base: Column, order: Column, tie
     rows = posts.withColumns({"base": base, "episode": order})
     reason = F.when(F.col("episode").isNull(), "no_episode").when(F.length("base") < shortest, "short_title")
     rows = rows.withColumn("reason", reason)
-    copies = F.count("*").over(Window.partitionBy(*block, "base", "episode"))
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (copies > 1), "repeated_episode").otherwise(F.col("reason")))
-    size = F.count(F.when(F.col("reason").isNull(), 1)).over(Window.partitionBy(*block, "base"))
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (size < 2), "single").otherwise(F.col("reason")))
+    # Counts are aggregated before they meet the rows, so a frequent title is never gathered.
+    fine = rows.filter("reason IS NULL")
+    keys = [*block, "base"]
+    episodes = fine.groupBy(*keys, "episode").agg(F.count("*").alias("_copies"))
+    sizes = episodes.filter("_copies = 1").groupBy(*keys).agg(F.count("*").alias("_size"))
+    counts = episodes.join(sizes, keys, "left").select(*(F.col(k).alias(f"_{k}") for k in [*keys, "episode"]), "_copies", F.coalesce("_size", F.lit(0)).alias("_size"))
+    same = F.lit(True)
+    for k in [*keys, "episode"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = rows.join(counts, same, "left")
+    reason = F.coalesce("reason", F.when(F.col("_copies") > 1, "repeated_episode").when(F.col("_size") < 2, "single"))
+    rows = rows.withColumn("reason", reason).drop(*counts.columns)
     place = F.row_number().over(Window.partitionBy(*block, "base").orderBy("episode", tie))
     return rows.filter("reason IS NULL").drop("reason").withColumn("position", place), rows.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -82,7 +90,7 @@ def merge_links(links: DataFrame, left: str, right: str) -> DataFrame:
 def chapter_order(chapters: DataFrame, work: str, site: str, group: str, source_position: str, parsed: list[Column]) -> DataFrame:
     """Adds place (from 1): by source position where a work has one site, one group and distinct positions, else by parsed keys."""
     facts = chapters.groupBy(work).agg(
-        ((F.count_distinct(site) == 1) & (F.count_distinct(group) == 1) & (F.count(source_position) == F.count("*")) & (F.count_distinct(source_position) == F.count("*"))).alias("by_source")
+        (F.min(site).eqNullSafe(F.max(site)) & (F.count(site) > 0) & F.min(group).eqNullSafe(F.max(group)) & (F.count(group) > 0) & (F.count(source_position) == F.count("*")) & (F.count_distinct(source_position) == F.count("*"))).alias("by_source")
     )
     rows = chapters.join(facts, work)
     own = F.when(F.col("by_source"), F.col(source_position))

@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from folioflow.plans import catalogues, queries, readers, stores  # noqa: F401
+from folioflow.plans import catalogues, operations, queries, readers, stores, texts  # noqa: F401
