@@ -75,3 +75,72 @@ def publish(old: DataFrame, new: DataFrame, key: str, sha: str, verified_at: str
     joined = new.join(before, key, "full")
     same = F.col(sha).eqNullSafe(F.col("_sha")) | F.col(sha).isNull()
     return joined.select(key, F.coalesce(sha, "_sha").alias(sha), F.when(same, F.col("_at")).otherwise(F.col(verified_at)).alias(verified_at))
+
+
+def discover(stored: DataFrame, listed: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Posts after a listing: unknown ones are added, of known ones a null never replaces what is known.
+
+    The title is taken from the listing only while no version of the post exists; count and
+    last_seen_at are always the listing's. Needs title, author, category, created_at, count,
+    latest_version_id and first_seen_at, last_seen_at in ``stored``; the listing has one row
+    per post, with the first five and ``at``.
+    """
+    fields = ("title", "author", "category", "created_at", "count")
+    new = listed.select(*keys, *(F.col(f).alias(f"_{f}") for f in fields), F.col(at).alias("_at"))
+    rows = stored.join(new, keys, "full")
+    seen = F.col("_at").isNotNull()
+    return rows.select(
+        *keys,
+        F.when(F.col("latest_version_id").isNull() & seen, F.coalesce("_title", "title")).otherwise(F.col("title")).alias("title"),
+        *(F.coalesce(f"_{f}", f).alias(f) for f in ("author", "category", "created_at")),
+        F.when(seen, F.col("_count")).otherwise(F.col("count")).alias("count"), "latest_version_id",
+        F.coalesce("first_seen_at", "_at").alias("first_seen_at"), F.greatest("last_seen_at", "_at").alias("last_seen_at"),
+    )
+
+
+def replace_children(stored: DataFrame, incoming: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """The children (comments) of the changed parents give way to the incoming ones; all others stay."""
+    changed = changed.select(key).distinct()
+    return stored.join(changed, key, "left_anti").unionByName(incoming.join(changed, key, "left_semi"))
+
+
+def touch(stored: DataFrame, seen: DataFrame, key: str, times: list[str], at: str) -> DataFrame:
+    """Posts that were found unmodified: only their times move, and never back."""
+    last = seen.groupBy(key).agg(F.max(at).alias("_at"))
+    return stored.join(last, key, "left").withColumns({t: F.greatest(t, "_at") for t in times}).drop("_at")
+
+
+def overwrite(stored: DataFrame, incoming: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The last row of each key wins whole, nulls included; incoming rows come after stored ones."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    fields = [c for c in stored.columns if c not in keys]
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct("_new", *order)).alias("_last"))
+    return last.select(*keys, *(F.col(f"_last.{f}").alias(f) for f in fields))
+
+
+def keep_filled(old: Column, new: Column) -> Column:
+    """The new text unless it is blank."""
+    return F.coalesce(F.nullif(F.trim(new), F.lit("")), old)
+
+
+def keep_first(old: Column, new: Column) -> Column:
+    """The old text unless it is empty: for names that must not change, and for numbers that only fill gaps."""
+    return F.coalesce(F.nullif(old, F.lit("")), new)
+
+
+def segment_outcomes(stored: DataFrame, built: DataFrame, key: str, sha: str) -> DataFrame:
+    """(key, outcome, superseded): created, unchanged or updated segments, and the hash that an update puts out of use."""
+    old = stored.select(key, F.col(sha).alias("_old"))
+    outcome = F.when(F.col("_old").isNull(), "created").when(F.col("_old") == F.col(sha), "unchanged").otherwise("updated")
+    return built.join(old, key, "left").select(key, outcome.alias("outcome"), F.when(outcome == "updated", F.col("_old")).alias("superseded"))
+
+
+def episode_outcome(paid: Column, old_sha: Column, new_sha: Column, old_canonical: Column, new_canonical: Column) -> Column:
+    """waiting for a paid body, imported for a new one, kept for an equal or equivalent one, else held_conflict."""
+    return F.when(paid, "waiting").when(old_sha.isNull(), "imported").when((old_sha == new_sha) | F.coalesce(old_canonical == new_canonical, F.lit(False)), "kept").otherwise("held_conflict")
+
+
+def add_missing(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows and those incoming ones of which the key isn't there; what is there stays as it is."""
+    fresh = incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    return stored.unionByName(fresh)

@@ -81,3 +81,106 @@ def first_boundary(listing: DataFrame, board: str, position: str, unchanged: Col
     last_change = F.max(F.when(~unchanged, F.col("_row"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = listing.withColumn("_row", F.row_number().over(order)).withColumn("_quiet", F.col("_row") - F.coalesce(last_change, F.lit(0)))
     return rows.filter(F.col("_quiet") == run).groupBy(board).agg(F.min(position).alias("boundary"))
+
+
+def seed(queue: DataFrame, listed: DataFrame, keys: list[str], capped: list[str]) -> DataFrame:
+    """The queue after a listing: new rows are pending, or done if their body is captured; others are refreshed.
+
+    A done row opens again if the listing asks for it (reopen_done), a dead one if its code
+    is one of ``capped`` and the listing's fingerprint differs from the known one. Opened
+    rows begin with no attempts. Needs state, attempts, next_attempt_at, last_error_code,
+    priority, listing_sha in ``queue``; listed rows have priority, listing_sha, captured, reopen_done.
+    """
+    new = listed.select(*keys, F.col("priority").alias("_priority"), F.col("listing_sha").alias("_sha"), F.col("captured").alias("_captured"), F.col("reopen_done").alias("_reopen"))
+    rows = queue.join(new, keys, "full")
+    changed = F.col("listing_sha").isNotNull() & F.coalesce(F.col("_sha") != F.col("listing_sha"), F.lit(False))
+    again = F.coalesce((F.col("_reopen") & (F.col("state") == "done")) | ((F.col("state") == "dead") & F.col("last_error_code").isin(capped) & changed), F.lit(False))
+    first = F.col("state").isNull()
+    return rows.select(
+        *keys,
+        F.when(first, F.when(F.col("_captured"), "done").otherwise("pending")).when(again, "pending").otherwise(F.col("state")).alias("state"),
+        F.when(first | again, 0).otherwise(F.col("attempts")).alias("attempts"), F.when(~again, F.col("next_attempt_at")).alias("next_attempt_at"),
+        F.when(~again, F.col("last_error_code")).alias("last_error_code"), F.coalesce("_priority", "priority").alias("priority"), F.coalesce("_sha", "listing_sha").alias("listing_sha"),
+    )
+
+
+def unchanged(post: dict[str, Column], listed: dict[str, Column], now: Column, locked_days: int = 30) -> Column:
+    """Whether a listed post needs no visit: it has a body and the same fingerprint, or without one the same title, category and count.
+
+    A post without a body is never unchanged, unless it is locked and was tried within ``locked_days``.
+    A category that is null on either side is not compared.
+    """
+    fields = (post["title"] == listed["title"]) & F.coalesce(post["category"] == listed["category"], F.lit(True)) & (post["count"] == listed["count"])
+    same = F.when(post["listing_sha"].isNotNull(), post["listing_sha"] == listed["listing_sha"]).otherwise(fields)
+    locked = (post["availability"] == "restricted") & (post["last_attempt_at"] > F.timestamp_add("DAY", F.lit(-locked_days), now))
+    return F.coalesce(F.when(post["has_body"], same).otherwise(locked), F.lit(False))
+
+
+def due(queue: DataFrame, now: Column) -> DataFrame:
+    """Pending and retrying rows of which the time has come."""
+    return queue.filter(F.col("state").isin("pending", "retry") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)))
+
+
+def requeue(queue: DataFrame, chosen: Column) -> DataFrame:
+    """The chosen rows, unless running, are pending again with no attempts and no error."""
+    again = F.coalesce(chosen, F.lit(False)) & (F.col("state") != "running")
+    fresh = {"state": F.when(again, "pending").otherwise(F.col("state")), "attempts": F.when(again, 0).otherwise(F.col("attempts")), "last_error_code": F.when(~again, F.col("last_error_code"))}
+    return queue.withColumns(fresh)
+
+
+def revive_missing(queue: DataFrame, bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """Dead rows of which no body is stored."""
+    return queue.filter("state = 'dead'").join(bodies.select(*keys), keys, "left_anti")
+
+
+def finish(queue: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
+    """Reported states take effect where the report's lease token is the row's; column fenced tells of reports that came too late.
+
+    ``reports`` has one row per key: lease_token and state (done, retry or dead).
+    """
+    given = reports.select(*keys, F.col("lease_token").alias("_token"), F.col("state").alias("_state"))
+    rows = queue.join(given, keys, "left")
+    fits = F.coalesce((F.col("state") == "running") & (F.col("lease_token") == F.col("_token")), F.lit(False))
+    rows = rows.withColumn("fenced", F.col("_token").isNotNull() & ~fits)
+    return rows.withColumns({"state": F.when(fits, F.col("_state")).otherwise(F.col("state")), "lease_token": F.when(~fits, F.col("lease_token"))}).drop("_token", "_state")
+
+
+def stale_runs(runs: DataFrame, events: DataFrame, run: str, at: str, before: Column) -> DataFrame:
+    """Running runs that began before ``before`` and have had no event since: they can be interrupted."""
+    live = events.filter(F.col(at) >= before).select(run).distinct()
+    return runs.filter((F.col("state") == "running") & (F.col("started_at") < before)).join(live, run, "left_anti")
+
+
+def fill_window(queue: DataFrame, candidates: DataFrame, keys: list[str], size: int, order: list[Column]) -> DataFrame:
+    """Candidates that are not queued, as many as the window of ``size`` open rows has room for."""
+    room = max(0, size - queue.filter(F.col("state").isin("pending", "retry", "running")).count())
+    return candidates.join(queue.select(*keys), keys, "left_anti").orderBy(*order).limit(room)
+
+
+def reserved_batch(due_rows: DataFrame, revisits: DataFrame, size: int, order: list[Column], revisit_order: list[Column], reserved: int = 1) -> DataFrame:
+    """Due rows, and at least ``reserved`` places for revisits if there are any; revisits fill what is left."""
+    again = revisits.orderBy(*revisit_order).limit(size).withColumn("kind", F.lit("revisit"))
+    first = due_rows.orderBy(*order).limit(size).withColumn("kind", F.lit("due"))
+    n_due, n_again = first.count(), again.count()
+    kept = max(min(reserved, n_again), min(n_again, size - n_due))
+    return first.orderBy(*order).limit(size - kept).unionByName(again.orderBy(*revisit_order).limit(kept))
+
+
+def import_delay(attempts: Column, ladder: tuple[int, ...] = (60, 300, 1800, 7200)) -> Column:
+    """Seconds until an import is tried again: a step of the ladder per attempt, the last one from then on."""
+    return F.element_at(F.array(*map(F.lit, ladder)), F.greatest(F.lit(1), F.least(attempts.cast("int"), F.lit(len(ladder)))))
+
+
+def failure_kind(code: Column, review: list[str], conflict: list[str], gone: list[str]) -> Column:
+    """review, conflict and gone for their codes, retry for all others."""
+    return F.when(code.isin(review), "review").when(code.isin(conflict), "conflict").when(code.isin(gone), "gone").otherwise("retry")
+
+
+def next_thread(threads: DataFrame, now: Column, size: int = 1) -> DataFrame:
+    """Active threads whose time has come, the newest update first."""
+    return threads.filter((F.col("status") == "active") & (F.col("retry_at").isNull() | (F.col("retry_at") <= now))).orderBy(F.desc("updated_at"), "thread_id").limit(size)
+
+
+def sweep_stop(pages: DataFrame, board: str, page: str, oldest: str, newest_before: str) -> DataFrame:
+    """Per board the first page whose oldest thread is older than the newest one of the sweep before; null while none is."""
+    return pages.groupBy(board).agg(F.min(F.when(F.col(oldest) < F.col(newest_before), F.col(page))).alias("stop_page"))

@@ -109,3 +109,80 @@ def last_before(lookups: DataFrame, marks: DataFrame, keys: list[str], at: str,
     upto = Window.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("_mark", F.last("_mark", ignorenulls=True).over(upto)).filter("_kind = 1")
     return found.select("_row.*", F.col(f"_mark.{value}").alias(value))
+
+
+def activity_spans(beats: DataFrame, keys: list[str], at: str, idle: int) -> DataFrame:
+    """(keys, start, stop) of spans of reading: each beat lasts ``idle``, and one within a span extends it."""
+    order = Window.partitionBy(*keys).orderBy(at)
+    first = F.coalesce(F.col(at) > F.lag(at).over(order) + idle, F.lit(True))
+    spans = beats.withColumn("_span", F.sum(first.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy(*keys, "_span").agg(F.min(at).alias("start"), (F.max(at) + idle).alias("stop")).drop("_span")
+
+
+def closed_spans(spans: DataFrame, keys: list[str], leaves: DataFrame, at: str) -> DataFrame:
+    """Spans cut where the reader left the screen during them; never before their start."""
+    cut = spans.join(leaves.select(*keys, F.col(at).alias("_left")), keys, "left").filter("_left IS NULL OR _left < stop")
+    ends = cut.filter("_left >= start").groupBy(*keys, "start").agg(F.min("_left").alias("_end"))
+    return spans.join(ends, [*keys, "start"], "left").withColumn("stop", F.coalesce("_end", "stop")).drop("_end")
+
+
+def clipped(stop: Column, now: Column) -> Column:
+    """The end of a span that may still be open."""
+    return F.least(stop, now)
+
+
+def month_cells(days: DataFrame, day: str, value: str, first: Column) -> DataFrame:
+    """(week, weekday, day, value) of the month of ``first``, weeks from Monday, with 0 for days without a value."""
+    month = days.sparkSession.range(1).select(F.explode(F.sequence(F.trunc(first, "month"), F.last_day(first))).alias("day"))
+    rows = month.join(days.select(F.col(day).alias("day"), F.col(value).alias("value")), "day", "left")
+    pad = F.weekday(F.trunc("day", "month"))
+    return rows.select(F.floor((F.dayofmonth("day") - 1 + pad) / 7).cast("int").alias("week"), F.weekday("day").alias("weekday"), "day", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def collection_progress(history: DataFrame, members: DataFrame, collection: str, post: str, progress: str, done: float = 0.95) -> DataFrame:
+    """(collection, finished, reading, available, occupancy) from a reader's history and the collections' members."""
+    last = history.groupBy(post).agg(F.max(progress).alias("_p"))
+    per = members.join(last, post, "left").groupBy(collection).agg(F.count_if(F.col("_p") >= done).alias("finished"), F.count_if((F.col("_p") > 0) & (F.col("_p") < done)).alias("reading"), F.count_if("available").alias("available"))
+    return per.withColumn("occupancy", occupancy(F.col("finished") + F.col("reading"), F.col("finished"), F.col("available")))
+
+
+def work_progress(history: DataFrame, work: str, progress: str, read_at: str, total: str, chapters: DataFrame, done: float = 0.95) -> DataFrame:
+    """(work, finished, reading, last_read, seen_total, fresh): fresh counts chapters added since the work was last opened."""
+    per = history.groupBy(work).agg(F.count_if(F.col(progress) >= done).alias("finished"), F.count_if((F.col(progress) > 0) & (F.col(progress) < done)).alias("reading"), F.max(read_at).alias("last_read"), F.coalesce(F.max(total), F.lit(0)).alias("seen_total"))
+    rows = per.join(chapters.select(work, F.col("chapter_count").alias("_now")), work, "left")
+    fresh = F.when(F.col("seen_total") > 0, F.greatest(F.col("_now") - F.col("seen_total"), F.lit(0))).otherwise(F.lit(0))
+    return rows.withColumn("fresh", F.coalesce(fresh, F.lit(0))).drop("_now")
+
+
+def episode_state(progress: Column, available: Column, fresh: Column, done: float = 0.95) -> Column:
+    """missing, read, reading, new or unread."""
+    return F.when(~available, "missing").when(progress >= done, "read").when(progress > 0, "reading").when(fresh, "new").otherwise("unread")
+
+
+def bin_summary(bins: DataFrame, work: str, state: str, states: list[str]) -> DataFrame:
+    """How many bins of each state a work has."""
+    return bins.groupBy(work).agg(*(F.count_if(F.col(state) == s).alias(s) for s in states))
+
+
+def trim_to_budget(rows: DataFrame, keys: list[str], at: str, ident: str, size: str, budget: int) -> DataFrame:
+    """The newest rows of each key that together stay within ``budget``; all older ones go, even if they would fit."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(ident)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_so_far", F.sum(size).over(newest)).filter(F.col("_so_far") <= budget).drop("_so_far")
+
+
+def home_works(progress: DataFrame, size: int = 8) -> DataFrame:
+    """Works being read for a home page: those with new chapters first, then by the last reading."""
+    return progress.filter("reading > 0 OR fresh > 0").orderBy(F.desc(F.col("fresh") > 0), F.desc("last_read"), "work").limit(size)
+
+
+def pick_of_the_day(day: str, n: int) -> int:
+    """A place below ``n`` for a day: a hash of its letters, each times 31 on top of those before, in 32 bits."""
+    value = 0
+    for letter in day:
+        value = (value * 31 + ord(letter)) & 0xFFFFFFFF
+    return value % n
+
+
+def discovery_weight(views: Column) -> Column:
+    """The weight of a work in daily picks: 1 + log10(1 + views)."""
+    return 1 + F.log10(1 + F.greatest(views, F.lit(0)))

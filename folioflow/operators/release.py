@@ -58,3 +58,54 @@ def text_pages(items: DataFrame, keys: list[str], order: list[Column], per_page:
     rows = items.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn("page", F.floor(F.col("_n") / per_page))
     packed = rows.groupBy(*keys, "page").agg(F.sort_array(F.collect_list(F.struct("_n", sha))).alias("_items"))
     return packed.select(*keys, "page", F.size("_items").cast("long").alias("n"), F.sha2(F.array_join(F.col(f"_items.{sha}"), "\n"), 256).alias("page_sha256"))
+
+
+def post_documents(posts: DataFrame, comments: DataFrame, key: str, position: str, fields: list[str], comment_fields: list[str]) -> DataFrame:
+    """(key, payload, payload_sha256, object_key): each post as JSON, its fields and comments in order, nulls kept.
+
+    A post's comments are gathered in one row; a post is expected to have no more than fit there.
+    """
+    whole = nested(posts.select(key, *fields), comments, key, position, comment_fields, "comments")
+    payload = F.concat(F.to_json(F.struct(*sorted(fields), "comments"), {"ignoreNullFields": "false"}), F.lit("\n"))
+    rows = whole.select(key, payload.alias("payload")).withColumn("payload_sha256", F.sha2("payload", 256))
+    return rows.withColumn("object_key", F.concat(F.lit("posts/"), F.col(key).cast("string"), F.lit("-"), F.col("payload_sha256"), F.lit(".json")))
+
+
+def release_tables(posts: DataFrame, board: str, key: str, sha: str) -> DataFrame:
+    """(board, n, board_sha256) of a full release: each board's posts counted, and a hash of all their hashes in any order."""
+    return posts.groupBy(board).agg(F.count("*").alias("n"), F.sum(F.xxhash64(key, sha).cast("decimal(38,0)")).cast("string").alias("board_sum"))
+
+
+def validate(search: DataFrame, boards: DataFrame, entries: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """(check, faults) of a release: posts of the search index and of the boards are the same set, no post stands in two
+
+    collections, positions are 1 to n, each collection's total is its number of entries. All 0 for a valid release.
+    """
+    only = search.select(key).exceptAll(boards.select(key)).count() + boards.select(key).exceptAll(search.select(key)).count()
+    twice = entries.groupBy(key).agg(F.count_distinct("collection").alias("_n")).filter("_n > 1").count()
+    facts = entries.groupBy("collection").agg(F.count("*").alias("_n"), F.min("position").alias("_low"), F.max("position").alias("_high"), F.count_distinct("position").alias("_d"))
+    gaps = facts.filter("_low <> 1 OR _high <> _n OR _d <> _n").count()
+    wrong = totals.join(facts, "collection", "full").filter(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("_n", F.lit(0)))).count()
+    return search.sparkSession.createDataFrame([("search_is_boards", only), ("one_collection", twice), ("contiguous", gaps), ("totals", wrong)], "check string, faults long")
+
+
+def release_mode(known: bool, schema_changed: bool, changed: int, collections_changed: bool, limit: int = 5000) -> str:
+    """full without a previous release or with another schema, bootstrap_required beyond ``limit`` changes, else delta, collections or none."""
+    if not known or schema_changed:
+        return "full"
+    if changed > limit:
+        return "bootstrap_required"
+    return "delta" if changed else "collections" if collections_changed else "none"
+
+
+def retained(releases: DataFrame, active: Column, at: str, newest: int, younger_than: Column) -> DataFrame:
+    """Releases to keep: the active one, the ``newest`` ones and those younger than a time."""
+    rank = F.row_number().over(Window.orderBy(F.desc(at)))  # releases are few
+    return releases.withColumn("_rank", rank).filter(active | (F.col("_rank") <= newest) | (F.col(at) > younger_than)).drop("_rank")
+
+
+def finalise_receipts(receipts: DataFrame, published: DataFrame, key: str) -> DataFrame:
+    """Receipts of revision 1 whose objects are published become revision 2."""
+    done = published.select(key).distinct().withColumn("_done", F.lit(True))
+    rows = receipts.join(done, key, "left")
+    return rows.withColumn("revision", F.when((F.col("revision") == 1) & F.coalesce("_done", F.lit(False)), 2).otherwise(F.col("revision"))).drop("_done")

@@ -100,3 +100,82 @@ def chapter_order(chapters: DataFrame, work: str, site: str, group: str, source_
 def latest_label(chapters: DataFrame, work: str, place: str, label: str, numbered: Column) -> DataFrame:
     """The label of the last numbered chapter, else of the last one."""
     return chapters.groupBy(work).agg(F.coalesce(F.max_by(label, F.when(numbered, F.col(place))), F.max_by(label, place)).alias("latest_label"))
+
+
+def reconcile(groups: DataFrame, entries: DataFrame, board: str, group: str, post: str, order: str, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a proposed group means for existing collections: (group, verdict, collection), and the posts to append.
+
+    ``groups`` has a row per post of a group, with its order, author, title and available;
+    ``entries`` the collection, position and post of existing entries, ``titles`` the titles
+    in use per board. Verdicts, of which the first holds: unknown_author; without a member in
+    any collection new_collection_conflict (the title is taken or a post is not available)
+    or new_collection; ambiguous_or_unanchored (several collections, or fewer than two
+    members); last_entry_not_anchor (the collection ends with another post than the group's
+    last member); else append: available posts behind the last member that are in no collection.
+    """
+    last = entries.groupBy("collection").agg(F.max_by(post, "position").alias("_last_entry"))
+    member = entries.select(post, "collection").distinct()
+    rows = groups.join(member, post, "left")
+    facts = rows.groupBy(board, group).agg(
+        F.bool_or(F.coalesce(F.trim("author"), F.lit("")) == "").alias("_unknown"), F.bool_and("available").alias("_available"), F.count_distinct("collection").alias("_collections"),
+        F.count("collection").alias("_members"), F.first("collection", ignorenulls=True).alias("collection"), F.max(F.when(F.col("collection").isNotNull(), F.struct(order, post))).alias("_anchor"), F.min("title").alias("title"),
+    )
+    taken = titles.select(board, "title").distinct().withColumn("_taken", F.lit(True))
+    facts = facts.join(last, "collection", "left").join(taken, [board, "title"], "left")
+    verdict = (
+        F.when(F.col("_unknown"), "unknown_author").when((F.col("_collections") == 0) & (F.coalesce("_taken", F.lit(False)) | ~F.col("_available")), "new_collection_conflict")
+        .when(F.col("_collections") == 0, "new_collection").when((F.col("_collections") != 1) | (F.col("_members") < 2), "ambiguous_or_unanchored")
+        .when(~F.col("_last_entry").eqNullSafe(F.col(f"_anchor.{post}")), "last_entry_not_anchor").otherwise("append")
+    )
+    facts = facts.withColumn("verdict", verdict)
+    behind = rows.join(facts.filter("verdict = 'append'").select(board, group, F.col("collection").alias("_to"), F.col(f"_anchor.{order}").alias("_after")), [board, group])
+    appended = behind.filter(F.col("collection").isNull() & F.col("available") & (F.col(order) > F.col("_after"))).select(F.col("_to").alias("collection"), post, order)
+    return facts.select(board, group, "verdict", F.when(F.col("verdict") == "append", F.col("collection")).alias("collection")), appended
+
+
+def aliases(history: DataFrame, old: str, new: str, at: str) -> DataFrame:
+    """(alias, canonical) of renamed works: the last name of each, chains followed to their end by ``merge_links`` of the names."""
+    last = history.groupBy(old).agg(F.max_by(new, at).alias("_to")).filter(F.col(old) != F.col("_to"))
+    ends = last.join(last.select(F.col(old).alias("_again")), F.col("_to") == F.col("_again"), "left_anti").select(F.col("_to").alias("end")).distinct()
+    groups = merge_links(last, old, "_to")
+    named = groups.join(ends, F.col("id") == F.col("end")).groupBy(F.col("canonical").alias("_c")).agg(F.max("end").alias("end"))
+    return groups.join(named, F.col("canonical") == F.col("_c")).filter("id <> end").select(F.col("id").alias("alias"), F.col("end").alias("canonical"))
+
+
+def thread_works(threads: DataFrame, segments: DataFrame, key: str, thread: str, at: str, segment: str) -> DataFrame:
+    """Chapters of works made of threads: place by the thread's date, its id and the segment; the newest thread names the work."""
+    facts = threads.groupBy(key).agg(F.max_by("title", F.struct(at, thread)).alias("work_title"), F.count_distinct(thread).alias("threads"))
+    rows = segments.join(threads.select(thread, key, at), thread).join(facts, key)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(at, thread, segment)))
+
+
+def pinned_key(rule: Column, pin: Column) -> Column:
+    """A hand-set key before that of the rule."""
+    return F.coalesce(pin, rule)
+
+
+def same_chapters(left: DataFrame, right: DataFrame, work: str, label: str) -> DataFrame:
+    """(work, equal, shared) of works on both sides: whether their labels are the same multiset, and how many labels are unique on both."""
+    a = left.groupBy(work, label).agg(F.count("*").alias("_a"))
+    b = right.groupBy(work, label).agg(F.count("*").alias("_b"))
+    both = a.join(b, [work, label], "full")
+    facts = both.groupBy(work).agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"), F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("shared"), F.count("_a").alias("_n"), F.count("_b").alias("_m"))
+    return facts.filter("_n > 0 AND _m > 0").select(work, "equal", "shared")
+
+
+def recovery_plan(chapters: DataFrame, planned: DataFrame, work: str, ident: str, field: str) -> DataFrame:
+    """(work, chapter, value, outcome) of a plan that fills gaps only: filled, same, kept (another value is there), or conflict (a value planned twice)."""
+    twice = planned.groupBy(work, field).agg(F.count("*").alias("_n"))
+    plan = planned.join(twice, [work, field]).select(work, ident, F.col(field).alias("_planned"), "_n")
+    outcome = F.when(F.col("_n") > 1, "conflict").when(F.col(field).isNull(), "filled").when(F.col(field) == F.col("_planned"), "same").otherwise("kept")
+    rows = chapters.join(plan, [work, ident])
+    return rows.select(work, ident, F.when(outcome == "filled", F.col("_planned")).otherwise(F.col(field)).alias("value"), outcome.alias("outcome"))
+
+
+def record_work(records: DataFrame, works: DataFrame, path: str, work: str) -> DataFrame:
+    """Each record with the work whose id is the longest prefix of its path, at a slash; null if there is none."""
+    parts = F.split(F.col(path), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    tried = records.select(path, F.explode(prefixes).alias("_prefix")).distinct()
+    best = tried.join(works.select(F.col(work).alias("_prefix")).distinct(), "_prefix").groupBy(path).agg(F.max_by("_prefix", F.length("_prefix")).alias(work))
+    return records.join(best, path, "left")
