@@ -142,12 +142,13 @@ def batches(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").agg(F.count_if(n == 1).alias("first_revision"), F.count_if(n == 2).alias("second_revision"), F.min(F.when((F.col("l_linestatus") == "O") & (n == 1), F.col("l_shipdate"))).alias("oldest_unpublished"))
 
 
-@query("b26_latest_event_per_run", """WITH e AS (SELECT DISTINCT l_orderkey, l_partkey * 100000 + l_suppkey AS sequence, l_returnflag FROM lineitem)
+@query("b26_latest_event_per_run", """WITH e AS (SELECT l_orderkey, l_partkey * 100000 + l_suppkey AS sequence, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)
 SELECT o_orderkey, o_orderstatus, sequence AS event_sequence, l_returnflag AS event_l_returnflag FROM orders o LEFT JOIN e ON e.l_orderkey = o.o_orderkey AND e.sequence =
  (SELECT max(x.sequence) FROM e x WHERE x.l_orderkey = o.o_orderkey AND (o.o_orderstatus = 'O' OR x.l_returnflag <> 'N'))""")
 def latest_event_per_run(spark, sf_dir):
     runs = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     events = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("sequence"), "l_returnflag")
+    events = events.groupBy("o_orderkey", "sequence").agg(F.max("l_returnflag").alias("l_returnflag"))
     return coverage.latest_event(runs, events, "o_orderkey", "sequence", ["l_returnflag"], (F.col("o_orderstatus") == "O") | (F.col("l_returnflag") != "N"))
 
 
