@@ -168,3 +168,49 @@ def path_key(url: Column) -> Column:
 def cover_initial(title: Column) -> Column:
     """The first letter of a title after tags and punctuation, in upper case."""
     return F.nullif(F.upper(F.substring(F.regexp_replace(title, r"^(?:\s*(?:\[[^\]]*\]|\([^)]*\)))*[\s\p{P}\p{S}]*", ""), 1, 1)), F.lit(""))
+
+
+def board_body(raw: Column, hosts: tuple[str, ...]) -> Column:
+    """The body of a board post behind its head, with signed addresses of images as keys; null where the text isn't in its form.
+
+    The head is ``# title`` with lines ``- name: value`` up to ``---``. An image line of one of
+    the hosts (or below one) becomes ``[image] media:folder/digest.type``; all else stays.
+    """
+    text = F.replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    head = F.substring_index(text, "\n---\n", 1)
+    fields = F.filter(F.slice(F.split(head, "\n"), 2, 1 << 30), lambda line: line != "")
+    fine = F.startswith(text, F.lit("# ")) & F.contains(text, F.lit("\n---\n")) & ~F.contains(text, F.lit("\0")) & F.forall(fields, lambda line: F.startswith(line, F.lit("- ")))
+    names = "|".join(h.replace(".", r"\.") for h in hosts)
+    signed = rf"(?m)^\[image\] https?://(?:[^/?#\s@]+\.)?(?i:{names})(?::\d+)?/+([a-z0-9]{{2,20}}/[a-f0-9]{{16,128}}\.(?:png|jpe?g|webp|gif|avif))(?:[?#]\S*)?$"
+    return F.when(fine, F.regexp_replace(F.substring(text, F.length(head) + 6, F.length(text)), signed, r"[image] media:$1"))
+
+
+def same_body(stored: Column, stored_sha: Column, incoming: Column, canonical) -> Column:
+    """Whether a stored text (of the given SHA-256) and an incoming one have the same canonical body; texts without one never do."""
+    return F.coalesce((F.sha2(stored, 256) == stored_sha) & (canonical(stored) == canonical(incoming)), F.lit(False))
+
+
+def novel_wrapper(raw: Column) -> Column:
+    """struct(text, source_url): a text without its two lines of title and address; without an address it stays whole."""
+    form = r"^﻿?# [^\r\n]*\r?\n(?:#\s+(https?://\S+)[ \t]*|[ \t]*#[ \t]*\r?\n[ \t]*(https?://\S+)[ \t]*)(?:\r?\n|\z)"
+    url = F.concat(F.regexp_extract(raw, form, 1), F.regexp_extract(raw, form, 2))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, form, ""), r"\r\n", "\n"), r"\A(?:[^\S\n]*+\n)++", "")
+    return F.struct(F.when(url != "", rest).otherwise(raw).alias("text"), url.alias("source_url"))
+
+
+def board_wrapper(raw: Column, deepest: int = 16) -> Column:
+    """struct(text, source_url): a text without its head up to a line ``---`` among the first lines, and the head's url."""
+    lines = F.split(F.regexp_replace(raw, "^﻿", ""), r"\r?\n")
+    rule = F.array_position(F.slice(lines, 2, deepest - 2), "---")
+    headed = F.startswith(lines[0], F.lit("# ")) & (rule > 0)
+    head, rest = F.slice(lines, F.lit(2), rule.cast("int")), F.slice(lines, rule.cast("int") + 2, F.size(lines) + 1)
+    urls = F.filter(F.transform(head, lambda line: F.regexp_extract(line, r"(?i)^-\s*url:\s*(https?://\S+)\s*$", 1)), lambda u: u != "")
+    return F.struct(
+        F.when(headed, F.regexp_replace(F.array_join(rest, "\n"), r"\A\n++", "")).otherwise(raw).alias("text"),
+        F.when(headed & (F.size(urls) > 0), F.get(urls, F.lit(0))).otherwise("").alias("source_url"),
+    )
+
+
+def archive_budget(total_bytes: Column, share: float = 0.1, least: int = 2 << 30, most: int = 20 << 30) -> Column:
+    """Bytes that raw captures may take: a share of the disk within bounds."""
+    return F.least(F.greatest((total_bytes * share).cast("long"), F.lit(least)), F.lit(most))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ZONE = "Asia/Seoul"
@@ -49,3 +49,8 @@ def source_time(raw: Column, captured_at: Column, zone: str = ZONE) -> Column:
     years = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda back: F.try_to_timestamp(F.concat((F.year(local) - back).cast("string"), F.lit("-"), day, F.lit(" "), F.coalesce(hour, F.lit("00:00"))), F.lit("yyyy-MM-dd HH:mm")))
     dated = F.when(day != "", utc(F.element_at(F.concat(F.filter(years, lambda at: at.isNotNull() & (at <= local)), F.array(F.lit(None).cast("timestamp"))), 1)))
     return F.coalesce(zoned, ago, timed, dated, absolute)
+
+
+def repaired(rows: DataFrame, value: str, raw: str, captured_at: str) -> DataFrame:
+    """Rows of which missing times are read from their source date as of the last capture; known times stay."""
+    return rows.withColumn(value, F.coalesce(F.col(value), source_time(F.col(raw), F.col(captured_at)).cast(rows.schema[value].dataType)))

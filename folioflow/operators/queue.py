@@ -184,3 +184,23 @@ def next_thread(threads: DataFrame, now: Column, size: int = 1) -> DataFrame:
 def sweep_stop(pages: DataFrame, board: str, page: str, oldest: str, newest_before: str) -> DataFrame:
     """Per board the first page whose oldest thread is older than the newest one of the sweep before; null while none is."""
     return pages.groupBy(board).agg(F.min(F.when(F.col(oldest) < F.col(newest_before), F.col(page))).alias("stop_page"))
+
+
+def claim_one(queue: DataFrame, keys: dict[str, object], now: Column, seconds: int, disabled: DataFrame | None = None) -> DataFrame:
+    """The row of the given keys as claimed, or none: it is due, or its lease has ended, and its board isn't disabled.
+
+    The claimed row runs with one attempt more and a lease of ``seconds``.
+    """
+    chosen = F.lit(True)
+    for name, value in keys.items():
+        chosen = chosen & (F.col(name) == F.lit(value))
+    rows = due(return_expired(queue.filter(chosen), now), now)
+    if disabled is not None:
+        rows = rows.join(disabled.select("board"), "board", "left_anti").select(*queue.columns)
+    return rows.withColumns({"state": F.lit("running"), "attempts": F.col("attempts") + 1, "lease_expires_at": F.timestamp_add("SECOND", F.lit(seconds), now)})
+
+
+def requeue_given(queue: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
+    """The queue in which the given rows are pending again, as in ``requeue``."""
+    marks = given.select(*keys).distinct().withColumn("_given", F.lit(True))
+    return requeue(queue.join(marks, keys, "left"), F.col("_given")).select(*queue.columns)

@@ -97,3 +97,27 @@ def term_index(docs: DataFrame, key: str, text: Column, trigrams: bool = False)
     rows = docs.select(key, F.explode(terms).alias("term")).filter("term <> ''")
     per = rows.groupBy("term", key).agg(F.count("*").alias("_n"))
     return per.groupBy("term").agg(F.count("*").alias("documents"), F.sum("_n").alias("places"), F.octet_length(F.first("term")).cast("long").alias("bytes"))
+
+
+def annotation_at(lookups: DataFrame, marks: DataFrame, document: str, offset: str, start: str, stop: str, at: str, ident: str) -> DataFrame:
+    """Each lookup with the id of the mark over its offset, the latest where several are; null where there is none.
+
+    Marks and lookups meet by document and block of a thousand places, so only marks near an offset are compared with it.
+    """
+    block = 1000
+    spread = marks.filter(F.col(start) < F.col(stop)).select(
+        F.col(document).alias("_document"), F.explode(F.sequence(F.floor(F.col(start) / block), F.floor((F.col(stop) - 1) / block))).alias("_block"),
+        F.col(start).alias("_start"), F.col(stop).alias("_stop"), F.struct(F.col(at), F.col(ident)).alias("_mark"),
+    )
+    over = (F.col(document) == F.col("_document")) & (F.floor(F.col(offset) / block) == F.col("_block")) & (F.col(offset) >= F.col("_start")) & (F.col(offset) < F.col("_stop"))
+    asked = lookups.select(document, offset).distinct()
+    best = asked.join(spread, over).groupBy(document, offset).agg(F.max("_mark")[ident].alias("annotation"))
+    return lookups.join(best, [document, offset], "left")
+
+
+def excerpt_markdown(quote: Column, note: Column, work: Column, title: Column, at: Column) -> Column:
+    """An excerpt in Markdown: its lines as a quote, its note, and where and on which day it was taken."""
+    place = F.concat_ws(" › ", F.nullif(work, F.lit("")), F.nullif(title, F.lit("")))
+    remark = F.when(F.coalesce(note, F.lit("")) != "", F.concat(note, F.lit("\n\n"))).otherwise("")
+    where = F.concat(F.lit("— "), F.coalesce(F.nullif(place, F.lit("")), F.lit("제목 없음")), F.lit(" · "), F.date_format(at, "yyyy-MM-dd"))
+    return F.concat(F.regexp_replace(quote, r"(?m)^", "> "), F.lit("\n\n"), remark, where, F.lit("\n\n---\n"))

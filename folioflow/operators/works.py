@@ -179,3 +179,35 @@ def record_work(records: DataFrame, works: DataFrame, path: str, work: str) -> D
     tried = records.select(path, F.explode(prefixes).alias("_prefix")).distinct()
     best = tried.join(works.select(F.col(work).alias("_prefix")).distinct(), "_prefix").groupBy(path).agg(F.max_by("_prefix", F.length("_prefix")).alias(work))
     return records.join(best, path, "left")
+
+
+def board_works(posts: DataFrame, board: str, category: str, ident: str, lane: str, author: str, at: str, base: Column, order: Column) -> DataFrame:
+    """Works of board posts: (board, category, base, work_id, author, chapters, last_at).
+
+    A post that came as text and with its media counts once, as text; other lanes are left out,
+    of several rows the latest stands. Posts group by board, category and base title as in
+    ``preview``; a group in which a post lacks an author is no work. The author is the first
+    chapter's, and the id a digest of board, category, base and author.
+    """
+    lanes = posts.filter(F.col(lane).isin("text", "both"))
+    prefer = F.struct(F.col(lane) == "text", F.col(at))
+    one = lanes.groupBy(board, category, ident).agg(F.max_by(F.struct(*(F.col(c) for c in posts.columns if c not in (board, category, ident))), prefer).alias("_row"))
+    grouped, _ = preview(one.select(board, category, ident, "_row.*"), [board, category], base, order, ident)
+    blank = F.coalesce(F.trim(author), F.lit("")) == ""
+    works = grouped.groupBy(board, category, "base").agg(F.min_by(author, "position").alias("author"), F.count("*").alias("chapters"), F.max(at).alias("last_at"), F.count_if(blank).alias("_blank"))
+    name = F.to_json(F.array(board, category, "base", F.lower("author")))
+    return works.filter("_blank = 0").drop("_blank").withColumn("work_id", F.substring(F.sha2(name, 256), 1, 24))
+
+
+def filled_from_headers(rows: DataFrame, headers: DataFrame, key: str, defaults: dict[str, str | None], blank: str = "-") -> DataFrame:
+    """Rows of which empty fields (null, blanks or ``blank``) take the value of their text's header, or the default.
+
+    ``headers`` has one row for each key, with a column for each field of ``defaults``.
+    """
+    found = headers.select(F.col(key).alias("_key"), *(F.col(f).alias(f"_{f}") for f in defaults))
+
+    def known(column: Column) -> Column:
+        return F.nullif(F.nullif(F.trim(column), F.lit("")), F.lit(blank))
+
+    joined = rows.join(found, F.col(key) == F.col("_key"), "left")
+    return joined.withColumns({f: F.coalesce(known(F.col(f)), known(F.col(f"_{f}")), F.lit(default)) for f, default in defaults.items()}).select(*rows.columns)

@@ -62,3 +62,14 @@ def manifest(frame: DataFrame, name: str) -> DataFrame:
 def append_new(frame: DataFrame, stored: DataFrame, sha: str) -> DataFrame:
     """The rows of which the hash is not stored yet, one for each hash."""
     return frame.dropDuplicates([sha]).join(stored.select(sha), sha, "left_anti")
+
+
+def restore_faults(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, fault) of each table of two manifests that differs: missing, unexpected, count or content."""
+    old = expected.select("name", F.struct("n", "content").alias("_old"))
+    rows = old.join(found.select("name", F.struct("n", "content").alias("_new")), "name", "full")
+    fault = (
+        F.when(F.col("_new").isNull(), "missing").when(F.col("_old").isNull(), "unexpected").when(F.col("_old.n") != F.col("_new.n"), "count")
+        .when(~F.col("_old.content").eqNullSafe(F.col("_new.content")), "content")
+    )
+    return rows.select("name", fault.alias("fault")).filter("fault IS NOT NULL")
