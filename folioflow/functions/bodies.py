@@ -201,7 +201,7 @@ def novel_wrapper(raw: Column) -> Column:
 def board_wrapper(raw: Column, deepest: int = 16) -> Column:
     """struct(text, source_url): a text without its head up to a line ``---`` among the first lines, and the head's url."""
     lines = F.split(F.regexp_replace(raw, "^﻿", ""), r"\r?\n")
-    rule = F.array_position(F.slice(lines, 2, deepest - 2), "---")
+    rule = F.array_position(F.slice(lines, 2, deepest - 1), "---")
     headed = F.startswith(lines[0], F.lit("# ")) & (rule > 0)
     head, rest = F.slice(lines, F.lit(2), rule.cast("int")), F.slice(lines, rule.cast("int") + 2, F.size(lines) + 1)
     urls = F.filter(F.transform(head, lambda line: F.regexp_extract(line, r"(?i)^-\s*url:\s*(https?://\S+)\s*$", 1)), lambda u: u != "")

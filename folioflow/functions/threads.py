@@ -93,7 +93,7 @@ def segment_texts(responses: DataFrame, keys: list[str], seq: str, user: str, at
 
 def is_scene_header(line: Column) -> Column:
     """Whether a line is the header of a response, in one of the two forms; null is no header."""
-    text = F.trim(line)
+    text = F.regexp_replace(line, r"(?U)^\s+|\s+\z", "")
     return F.coalesce((F.length(text) <= 240) & (F.regexp_like(text, F.lit(RESPONSE_HEADER)) | F.regexp_like(text, F.lit(SEGMENT_HEADER))), F.lit(False))
 
 

@@ -62,6 +62,8 @@ def test_bodies(spark):
     assert [tuple(r) for r in _column(spark, novel, bodies.novel_wrapper(F.col("v")))] == [("body\nend\n", "https://e.org/1"), ("body", "https://e.org/2"), ("# t\nbody", ""), ("body", ""), ("", "https://e.org/3")]
     board = ["# t\n- url: https://e.org/1\n- a: b\n---\n\nbody\n---\nx", "# t\n---\nbody", "t\n---\nx", "# t\n" + "\n" * 20 + "---\nx", "# t"]
     assert [tuple(r) for r in _column(spark, board, bodies.board_wrapper(F.col("v")))] == [("body\n---\nx", "https://e.org/1"), ("body", ""), ("t\n---\nx", ""), ("# t\n" + "\n" * 20 + "---\nx", ""), ("# t", "")]
+    edge = ["# t\n" + "- a: b\n" * n + "---\nx" for n in (14, 15)]  # the rule is the sixteenth line, and the one behind it
+    assert [r["text"] for r in _column(spark, edge, bodies.board_wrapper(F.col("v")))] == ["x", edge[1]]
     assert _column(spark, [1 << 30, 100 << 30, 1 << 40], bodies.archive_budget(F.col("v")), "long") == [2 << 30, 10 << 30, 20 << 30]
     assert _column(spark, ["x" * 1_000_000 + "\n"], bodies.board_body(F.col("v"), ("e.org",))) == [None]
 
@@ -85,9 +87,9 @@ def test_codes(spark):
 
 
 def test_scene_headers(spark):
-    lines = ["12 : name : 2024/1/2 10:00", "──── #12 a◆b · 2026-10-07 20:35", "──── 12", "x" * 300, "", None]
+    lines = ["\t12 : name : 2024/1/2 10:00", "──── #12 a◆b · 2026-10-07 20:35\r", "──── 12", "x" * 300, "", None]
     assert _column(spark, lines, threads.is_scene_header(F.col("v"))) == [True, True, False, False, False, False]
-    assert re.match(threads.SEGMENT_HEADER, lines[1])
+    assert re.match(threads.SEGMENT_HEADER, lines[1].strip())
 
 
 def test_listings(spark):
