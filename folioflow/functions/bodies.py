@@ -165,6 +165,16 @@ def path_key(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"^https?://[^/?#]+/([^?#]+)", 1), F.lit(""))
 
 
+def media_path_key(url: Column, hosts: tuple[str, ...]) -> Column:
+    """The path key of an address on one of the hosts (or below it) that names an image by its hash; null for others."""
+    host = F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    known = F.lit(False)
+    for h in hosts:
+        known = known | (host == h) | F.endswith(host, F.lit(f".{h}"))
+    key = F.regexp_replace(F.regexp_extract(url, r"^(?i:https?)://[^/?#]+/([^?#]+)", 1), r"^/+", "")
+    return F.when(known & F.regexp_like(key, F.lit(r"^[a-z0-9]{2,20}/[a-f0-9]{16,128}\.(?:png|jpe?g|webp|gif|avif)$")), key)
+
+
 def cover_initial(title: Column) -> Column:
     """The first letter of a title after tags and punctuation, in upper case."""
     return F.nullif(F.upper(F.substring(F.regexp_replace(title, r"^(?:\s*(?:\[[^\]]*\]|\([^)]*\)))*[\s\p{P}\p{S}]*", ""), 1, 1)), F.lit(""))

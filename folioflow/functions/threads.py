@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -123,3 +123,16 @@ def comment_parents(depths: pd.Series) -> pd.Series:
         return found
 
     return depths.map(parents)
+
+
+def legacy_comments(comments: DataFrame, keys: list[str], ident: str, parent: str, content: str, empty: str) -> DataFrame:
+    """Comments with position, their place from 1 by id within a post, and parent_position, that of the parent (null without one).
+
+    A comment of white space only, or null, has the text ``empty``. Ids are unique within a post.
+    """
+    rows = comments.withColumns({
+        "position": F.row_number().over(Window.partitionBy(*keys).orderBy(ident)),
+        content: F.when(F.trim(F.regexp_replace(content, r"\s+", " ")) != "", F.col(content)).otherwise(F.lit(empty)),
+    })
+    parents = rows.select(*keys, F.col(ident).alias(parent), F.col("position").alias("parent_position"))
+    return rows.join(parents, [*keys, parent], "left")

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folioflow.functions.text import nfkc
+
 
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
@@ -101,10 +103,30 @@ def display_title(title: Column, label: Column) -> Column:
     return F.when(ends, F.trim(F.regexp_replace(F.substring(F.rtrim(title), F.lit(1), F.length(F.rtrim(title)) - F.length(label)), SEPARATOR, ""))).otherwise(F.trim(title))
 
 
-def series_key(title: Column, author: Column) -> Column:
-    """The first 16 hex digits of SHA-256 over the title without tags and trailing number, and the author."""
-    stem = F.regexp_replace(F.regexp_replace(title, TAGS, ""), r"[\s#\-]*\d+\s*$", "")
-    return F.substring(F.sha2(F.concat_ws("\x1f", F.trim(stem), F.coalesce(author, F.lit(""))), 256), 1, 16)
+#: The tags before a thread's title, and the number at its end with what may stand around it.
+SERIES_TAGS = r"^\s*(?:[\[【][^\]】]*[\]】]\s*)+"
+SERIES_NUMBER = r"[\s\-–—:~.]*[(\[【<〈《]?[\s\-–—:~]*\d+\s*(?:어장|편|기|화|부|차)?[\s\-–—:~]*[)\]】>〉》]?[\s\-–—:~.]*\z"
+
+
+def series(title: Column, username: Column) -> Column:
+    """struct(key, stem, tags) of a thread's title: its stem has neither tags before it nor a number behind it.
+
+    The key is the first 16 hex digits of SHA-256 over the author's trip (what follows ◆, else
+    the whole name) and the folded stem. A title of nothing else keeps its number, then its tags.
+    """
+    normal = F.regexp_replace(nfkc(F.coalesce(title, F.lit(""))), r"(?U)^\s+|\s+$", "")
+    name = F.coalesce(username, F.lit(""))
+    trip = F.regexp_replace(F.when(F.contains(name, F.lit("◆")), F.regexp_extract(name, r"(?s)◆(.*)$", 1)).otherwise(name), r"(?U)^\s+|\s+$", "")
+    spaced = lambda t: F.nullif(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), F.lit(""))
+
+    def parts(whole: Column) -> Column:
+        rest = F.regexp_replace(whole, SERIES_TAGS, "")
+        stem = F.coalesce(spaced(F.regexp_replace(rest, SERIES_NUMBER, "")), spaced(rest), whole)
+        return F.struct(stem.alias("stem"), F.trim(F.regexp_extract(whole, f"({SERIES_TAGS})", 1)).alias("tags"))
+
+    found = _let(normal, parts)
+    key = F.substring(F.sha2(F.concat(trip, F.lit("\n"), folded(found["stem"])), 256), 1, 16)
+    return F.struct(key.alias("key"), found["stem"].alias("stem"), found["tags"].alias("tags"))
 
 
 def episode_number(label: Column) -> Column:

@@ -130,3 +130,17 @@ def resume_scan(rows: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next ``size`` rows in order of ``key`` behind the last one read; the filter reaches the scan, nothing is skipped over."""
     rows = rows if after is None else rows.filter(F.col(key) > F.lit(after))
     return rows.orderBy(key).limit(size)
+
+
+def failure_timeline(runs: DataFrame, captures: DataFrame, run: str, finished: str, at: str, code: str, outcome: str, since: Column, removals: list[str]) -> DataFrame:
+    """kind, day, code and n: error codes a day (kind error) and removal outcomes (kind removal, no day) of captures since ``since``.
+
+    Only captures of runs that are open or ended since then count; the runs are chosen first, so that
+    captures partitioned by run aren't read whole.
+    """
+    recent = runs.filter(F.col(finished).isNull() | (F.col(finished) >= since)).select(run)
+    seen = captures.filter(F.col(at) >= since).join(recent, run, "left_semi")
+    errors = F.struct(F.lit("error").alias("kind"), F.date_format(at, "yyyy-MM-dd").alias("day"), F.col(code).alias("code"))
+    gone = F.struct(F.lit("removal").alias("kind"), F.lit(None).cast("string").alias("day"), F.col(outcome).alias("code"))
+    marks = F.array_compact(F.array(F.when(F.col(code).isNotNull(), errors), F.when(F.col(outcome).isin(removals), gone)))
+    return seen.select(F.explode(marks).alias("m")).groupBy("m.kind", "m.day", "m.code").agg(F.count("*").alias("n"))

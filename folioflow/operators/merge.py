@@ -144,3 +144,22 @@ def add_missing(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> Data
     """Stored rows and those incoming ones of which the key isn't there; what is there stays as it is."""
     fresh = incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
     return stored.unionByName(fresh)
+
+
+def guarded_status(stored: DataFrame, reports: DataFrame, key: str, at: str, arrival: str, kept: list[str], limit: Column) -> DataFrame:
+    """The stored status of each key after its reports in order of arrival, one row a key.
+
+    A report older than what is known loses, but a stored time after ``limit`` (a clock that
+    ran ahead) yields to any; reports after ``limit`` or without a time are refused. Fields
+    in ``kept`` keep their last value where a report has none, all others are replaced.
+    Ties in ``arrival`` go to the later time, then to the greater row.
+    """
+    fields = [c for c in stored.columns if c != key]
+    old = stored.select(key, *fields, F.lit(0).alias("_new"), F.lit(None).cast(reports.schema[arrival].dataType).alias("_arrival"))
+    new = reports.filter(F.col(at) <= limit).select(key, *fields, F.lit(1).alias("_new"), F.col(arrival).alias("_arrival"))
+    order = F.struct("_new", "_arrival", at, *(f for f in fields if f != at))
+    rows = old.unionByName(new).withColumns({"_order": order, "_known": F.when((F.col("_new") == 1) | (F.col(at) <= limit), F.col(at))})
+    before = Window.partitionBy(key).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_best", F.max("_known").over(before)).filter((F.col("_new") == 0) | F.col("_best").isNull() | (F.col(at) >= F.col("_best")))
+    last = F.col("_order")
+    return rows.groupBy(key).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), last) if f in kept else last).alias(f) for f in fields))

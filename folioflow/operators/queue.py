@@ -75,6 +75,33 @@ def over_budget(files: DataFrame, keys: list[str], at: str, size: str, budget: i
     return files.withColumn("kept_bytes", F.sum(size).over(newest)).filter(F.col("kept_bytes") > budget)
 
 
+def pruned_files(files: DataFrame, keys: list[str], at: str, size: str, ident: str, now: Column, keep_seconds: int, budget: int, least_seconds: int = 0) -> DataFrame:
+    """Files to delete: older than ``keep_seconds``, and then the oldest until the rest of each key is within ``budget`` bytes.
+
+    Files younger than ``least_seconds`` stay in any case. What a file leaves is the sum of it
+    and all newer ones, so one running sum from the newest tells both.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(size), F.desc(ident)).rowsBetween(Window.unboundedPreceding, 0)
+    age = F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(F.col(at).cast("timestamp")) / 1e6
+    rows = files.withColumns({"kept_bytes": F.sum(size).over(newest), "_age": age})
+    return rows.filter((F.col("_age") >= least_seconds) & ((F.col("_age") > keep_seconds) | (F.col("kept_bytes") > budget))).drop("_age")
+
+
+def boundary_page(listing: DataFrame, anchors: DataFrame, board: str, page: str, place: str, ident: str, unchanged: Column, overlap: int = 2, run: int = 20) -> DataFrame:
+    """board and last_page: the page at which each board's incremental pass ends.
+
+    With an anchor (the newest post of the pass before) that is the page of the first row at or
+    below it, without one that of the row at which ``run`` rows in a row are unchanged; then
+    ``overlap`` pages follow. Boards that reach neither are left out.
+    """
+    rows = listing.join(anchors.select(board, F.col("anchor").alias("_anchor")), board, "left")
+    order = Window.partitionBy(board).orderBy(page, place)
+    last_change = F.max(F.when(~unchanged, F.col("_row"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_row", F.row_number().over(order)).withColumn("_quiet", F.col("_row") - F.coalesce(last_change, F.lit(0)))
+    ends = F.when(F.col("_anchor").isNotNull(), F.col(ident) <= F.col("_anchor")).otherwise(F.col("_quiet") >= run)
+    return rows.filter(ends).groupBy(board).agg((F.min(page) + overlap).alias("last_page"))
+
+
 def first_boundary(listing: DataFrame, board: str, position: str, unchanged: Column, run: int = 20) -> DataFrame:
     """The position at which each board's listing has been unchanged ``run`` times in a row (boards without one are left out)."""
     order = Window.partitionBy(board).orderBy(position)

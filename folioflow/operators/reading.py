@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,29 @@ def equal_bins(entries: DataFrame, work: str, position: str, state_rank: Column,
     return rows.groupBy(work, "bin").agg(F.count("*").alias("n"), F.max(state_rank).alias("state_rank"))
 
 
+def length_bins(entries: DataFrame, work: str, position: str, weight: Column, state_rank: Column, bins: int) -> DataFrame:
+    """Entries of each work in at most ``bins`` bins of about equal length, each with at least one entry and its highest state.
+
+    Bin b would begin where the running length passes b / bins of the whole; each bin begins at
+    least one entry behind the one before and leaves one for every bin after it. That is
+    min(max over j <= b of (begin(j) + b - j), count - bins + b), so no fold over entries is
+    needed. Weights are whole numbers, at least 1; null counts as 1. Ties in position: any order.
+    """
+    running = Window.partitionBy(work).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    rows = entries.withColumn("_weight", F.greatest(F.coalesce(weight.cast("long"), F.lit(1)), F.lit(1)))
+    whole = rows.groupBy(work).agg(F.sum("_weight").alias("_total"), F.count("*").alias("_count"))
+    rows = rows.withColumns({"_end": F.sum("_weight").over(running), "_n": F.row_number().over(running)}).join(whole, work)
+    wide = F.least(F.lit(bins), F.col("_count"))
+    rows = rows.withColumns({"_wide": wide, "_passed": F.expr(f"(_end * least({bins}, _count) + _total - 1) div _total")})  # the first bin whose goal the entry doesn't pass
+    marks = rows.groupBy(work, "_wide", "_count", "_passed").agg(F.max("_n").alias("_upto"))  # at most one row a bin
+    packed = marks.groupBy(work, "_wide", "_count").agg(F.collect_list(F.struct("_passed", "_upto")).alias("_marks"))
+    begin = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_wide") - 1), lambda b: F.when(b == 0, 0).otherwise(F.coalesce(F.array_max(F.transform(F.filter("_marks", lambda m: m["_passed"] <= b), lambda m: m["_upto"])), F.lit(0))).cast("long"))
+    edge = lambda x, b: F.least(F.array_max(F.transform(F.slice("_begin", 1, (b + 1).cast("int")), lambda y, j: y + b - j)), F.col("_count") - F.col("_wide") + b)
+    edges = packed.withColumn("_begin", begin).select(work, F.transform("_begin", edge).alias("_edges"))
+    placed = rows.join(edges, work).withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col("_n"))).cast("long") - 1)
+    return placed.groupBy(work, "bin").agg(F.count("*").alias("n"), F.sum("_weight").alias("length"), F.max(state_rank).alias("state_rank"))
+
+
 def next_available(entries: DataFrame, work: str, position: str, available: Column) -> DataFrame:
     """Adds next_position, the next available entry of the work, and skipped, how many stand between."""
     later = Window.partitionBy(work).orderBy(position).rowsBetween(1, Window.unboundedFollowing)
@@ -186,3 +211,25 @@ def pick_of_the_day(day: str, n: int) -> int:
 def discovery_weight(views: Column) -> Column:
     """The weight of a work in daily picks: 1 + log10(1 + views)."""
     return 1 + F.log10(1 + F.greatest(views, F.lit(0)))
+
+
+def week_of(daily: DataFrame, keys: list[str], day: str, value: str, today: Column, least: int = 60_000) -> DataFrame:
+    """The seven days, from Monday, of the week of ``today``: one row per key with days (values, absent ones 0), total and active_days.
+
+    A day is active from ``least`` milliseconds on. Keys without a day in the week are left out.
+    """
+    monday = F.to_date(F.date_trunc("week", today))
+    rows = daily.filter(F.col(day).between(monday, F.date_add(monday, 6))).groupBy(*keys, F.datediff(day, monday).alias("_d")).agg(F.sum(value).alias("_v"))
+    values = [F.coalesce(F.max(F.when(F.col("_d") == d, F.col("_v"))), F.lit(0)).cast("long") for d in range(7)]
+    return rows.groupBy(*keys).agg(F.array(*values).alias("days"), F.sum("_v").cast("long").alias("total"), F.count_if(F.col("_v") >= least).alias("active_days"))
+
+
+def discovery_picks(works: DataFrame, progress: DataFrame, ident: str, day: str, shuffle: int = 0, size: int = 3) -> DataFrame:
+    """``size`` series that nobody has begun, drawn by popularity; the same day and shuffle give the same ones.
+
+    ``works`` has kind, available, views and comments; ``progress`` the works with a read or
+    finished entry. One-shots and series of fewer than three available entries take no part.
+    """
+    fresh = works.filter((F.col("kind") != "oneshot") & (F.col("available") >= 3)).join(progress.select(ident), ident, "left_anti")
+    seed = zlib.crc32(f"{day}#{shuffle}".encode())
+    return weighted_sample(fresh, ident, discovery_weight(F.coalesce(F.col("views"), F.lit(0)) + 5 * F.coalesce(F.col("comments"), F.lit(0))), seed, size)

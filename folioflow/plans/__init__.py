@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from folioflow.plans import catalogues, folds, operations, queries, readers, stores, texts, threads  # noqa: F401
+from folioflow.plans import catalogues, folds, guards, operations, queries, readers, stores, texts, threads  # noqa: F401
