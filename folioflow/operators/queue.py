@@ -231,3 +231,49 @@ def requeue_given(queue: DataFrame, given: DataFrame, keys: list[str]) -> DataFr
     """The queue in which the given rows are pending again, as in ``requeue``."""
     marks = given.select(*keys).distinct().withColumn("_given", F.lit(True))
     return requeue(queue.join(marks, keys, "left"), F.col("_given")).select(*queue.columns)
+
+
+def enqueued(arrivals: DataFrame, ident: str, once: str, replaces: str) -> DataFrame:
+    """An outbox after its arrivals in order of id: a repeated ``once`` key is the first one's, and of those with a ``replaces`` key the last one stays (null: all)."""
+    first = arrivals.join(arrivals.groupBy(once).agg(F.min(ident).alias(ident)), [once, ident], "left_semi")
+    newest = first.filter(F.col(replaces).isNotNull()).groupBy(replaces).agg(F.max(ident).alias(ident))
+    return first.join(newest, [replaces, ident], "left_semi").unionByName(first.filter(F.col(replaces).isNull()))
+
+
+def evicted(outbox: DataFrame, room: DataFrame, ident: str, size: str, priority: str, protected: int = 100) -> DataFrame:
+    """The rows of each outbox (``lane``) that go so that ``room.needed`` bytes become free for an item of ``room.priority``.
+
+    The least priority goes first, then the oldest; rows of ``protected`` priority or of more than
+    the item's stay. A lane that can't make room loses nothing (``room`` of such lanes is refused).
+    """
+    rows = outbox.join(room.select("lane", "needed", F.col("priority").alias("_most")), "lane").filter((F.col(priority) < protected) & (F.col(priority) <= F.col("_most")))
+    before = Window.partitionBy("lane").orderBy(priority, ident).rowsBetween(Window.unboundedPreceding, -1)
+    free = rows.groupBy("lane").agg(F.sum(size).alias("_free"))
+    rows = rows.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).join(free, "lane")
+    return rows.filter((F.col("_free") >= F.col("needed")) & (F.col("_before") < F.col("needed"))).drop("needed", "_most", "_before", "_free")
+
+
+def head_of_line(outbox: DataFrame, now: Column, ident: str, due_at: str, size: int = 50) -> DataFrame:
+    """The first ``size`` rows by id, up to the first one that isn't due yet: none overtakes another."""
+    first = outbox.filter(F.col(due_at) > now).agg(F.min(ident).alias("_stop"))
+    head = outbox.orderBy(ident).limit(size)
+    return head.join(F.broadcast(first), F.col("_stop").isNull() | (F.col(ident) < F.col("_stop"))).drop("_stop")  # one row
+
+
+def next_unit(queue: DataFrame, lists: DataFrame, cooling: DataFrame, now: Column, served: int, last_source: str | None, body_source: str | None) -> DataFrame:
+    """The next request of a collector: source, kind and entity, at most one row.
+
+    Of four requests two prefer listings, one episodes and one works; then the other source than
+    the last one's goes first. ``queue`` has source, kind, entity, status, next_check_at and
+    updated_at, ``lists`` source, next_page and next_check_at, ``cooling`` source and cooldown_until.
+    """
+    slot = served % 4
+    preferred = "list" if slot < 2 else "episode" if slot == 2 and body_source else "work"
+    fallback = "episode" if body_source and slot in (0, 2) else "work"
+    rank = F.when(F.col("kind") == preferred, 0).when(F.col("kind") == fallback, 1).otherwise(2)
+    bodies = F.col("source") == body_source if body_source not in (None, "both") else F.lit(body_source == "both")
+    waiting = queue.filter(F.col("status").isin("pending", "retry", "review", "gone") & (F.col("next_check_at") <= now) & ((F.col("kind") != "episode") | bodies))
+    first = waiting.groupBy("source").agg(F.min(F.struct(rank.alias("rank"), "updated_at", "kind", "entity")).alias("u")).select("source", "u.kind", "u.entity", "u.rank")
+    pages = lists.filter(F.col("next_check_at") <= now).select("source", F.lit("list").alias("kind"), F.col("next_page").cast("string").alias("entity"), F.lit(0 if preferred == "list" else 1).alias("rank"))
+    found = first.unionByName(pages).join(cooling.filter(F.col("cooldown_until") > now).select("source"), "source", "left_anti")
+    return found.orderBy("rank", F.col("source").eqNullSafe(F.lit(last_source)), "source", "kind").limit(1).select("source", "kind", "entity")

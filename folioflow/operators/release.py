@@ -109,3 +109,27 @@ def finalise_receipts(receipts: DataFrame, published: DataFrame, key: str) -> Da
     done = published.select(key).distinct().withColumn("_done", F.lit(True))
     rows = receipts.join(done, key, "left")
     return rows.withColumn("revision", F.when((F.col("revision") == 1) & F.coalesce("_done", F.lit(False)), 2).otherwise(F.col("revision"))).drop("_done")
+
+
+def incremental_mode(base: dict[str, Column], now: dict[str, Column], changed: Column, limit: int = 5000) -> Column:
+    """What an incremental export does, or the fault that stops it.
+
+    Both sides give source, water (the last capture), projection, posts, content and collections
+    (fingerprints). Modes are noop, collections and delta; faults source_changed,
+    source_rewound, projection_untracked (a change that no capture explains) and
+    delta_too_large (``limit`` 0: none).
+    """
+    same = lambda name: base[name].eqNullSafe(now[name])
+    untracked = ~same("projection") & same("posts") & (changed == 0)
+    large = (F.lit(limit) > 0) & (changed > limit)
+    return (
+        F.when(~same("source"), "source_changed").when(now["water"] < base["water"], "source_rewound").when(same("content") & same("collections"), "noop").when(same("content"), "collections")
+        .when(untracked, "projection_untracked").when(large, "delta_too_large").otherwise("delta")
+    )
+
+
+def unchanged_lanes(before: DataFrame, after: DataFrame, lane: str, *fields: str) -> DataFrame:
+    """lane and unchanged: whether the rows of a lane are those of its last build, so that it needn't be built (a lane that left or came has changed)."""
+    sides = [fingerprint(rows, [lane], *fields).select(lane, F.struct("n", "fingerprint").alias("_print"), F.lit(side).alias("_side")) for side, rows in enumerate((before, after))]
+    prints = sides[0].unionByName(sides[1]).groupBy(lane).agg(*(F.max_by("_print", F.when(F.col("_side") == side, 1)).alias(name) for side, name in enumerate(("_old", "_new"))))
+    return prints.select(lane, F.col("_old").eqNullSafe(F.col("_new")).alias("unchanged"))

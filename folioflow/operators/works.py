@@ -211,3 +211,15 @@ def filled_from_headers(rows: DataFrame, headers: DataFrame, key: str, defaults:
 
     joined = rows.join(found, F.col(key) == F.col("_key"), "left")
     return joined.withColumns({f: F.coalesce(known(F.col(f)), known(F.col(f"_{f}")), F.lit(default)) for f, default in defaults.items()}).select(*rows.columns)
+
+
+def reviewed_links(candidates: DataFrame, decisions: DataFrame, left: str, right: str, order: str) -> DataFrame:
+    """The links that count: accepted candidates, and certain ones that nobody rejected; apply before groups are built.
+
+    ``candidates`` has certain; ``decisions`` decision (accept or reject), of which the last in ``order``
+    counts. The two ends may stand in either order, and an accepted pair that is no candidate counts, too.
+    """
+    ends = [F.least(left, right).alias(left), F.greatest(left, right).alias(right)]
+    said = decisions.select(*ends, order, "decision").groupBy(left, right).agg(F.max_by("decision", order).alias("_said"))
+    rows = candidates.select(*ends, "certain").groupBy(left, right).agg(F.max("certain").alias("_certain")).join(said, [left, right], "full")
+    return rows.filter((F.col("_said") == "accept") | (F.col("_said").isNull() & F.col("_certain"))).select(left, right)
