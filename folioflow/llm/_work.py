@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _open: list[list[str]] = []  # folders of the temporary() blocks that are being run
 
@@ -56,6 +58,15 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def own_dir(spark: SparkSession, tag: str, *, keep: bool = False) -> str:
+    """A fresh shared folder that goes with the ``temporary`` block (``keep``: the block around that)."""
+    path = fresh_dir(spark, tag)
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str, *, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -64,13 +75,26 @@ def materialise(df: DataFrame, tag: str, *, keep: bool = False, by: str | None =
     last one, by which the files are laid out.
     """
     spark = df.sparkSession
-    path = fresh_dir(spark, tag)
+    path = own_dir(spark, tag, keep=keep)
     df.write.parquet(path, partitionBy=by)
-    owners = _open[:-1] if keep else _open
-    if owners:
-        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_weighted(big: DataFrame, small: DataFrame, keys: dict[str, str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with the one row of ``small`` for each key; null keys are equal.
+
+    ``keys`` names the key columns of ``big`` and their fellows in ``small``; ``weight``
+    counts the rows of ``big`` that a row of ``small`` meets, ``total`` all of them. Rows
+    that meet more than a thousandth of ``total`` (10,000 at least) are at most a thousand:
+    these are broadcast, so that no task gets all rows of a frequent key.
+    """
+    heavy = F.col(weight) >= max(10_000, total // 1000)
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in keys.items()])
+    hot = small.filter(heavy)
+    often = F.broadcast(hot.select(*keys.values()))
+    rest = big.join(often, same, "left_anti").join(small.filter(~heavy), same)
+    return big.join(F.broadcast(hot), same).unionByName(rest).drop(*keys.values())

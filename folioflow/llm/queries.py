@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, mixing, packing, scoring, topk, toxicity, vector_dedup, warc
+from . import idfiles, jaccard, langid, licenses, mixing, packing, scoring, topk, toxicity, vector_dedup, warc
+from ._work import materialise, temporary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with temporary(spark):  # the files go when their documents have been read
+        return materialise(idfiles.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "id-documents", keep=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_nnls_packing": op2_nnls_packing,
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op13_id_files": op13_id_files,
 }
 
 ORACLES: dict[str, str] = {
