@@ -113,8 +113,15 @@ def byte_tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(path)
 
 
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes of a plain id: two if all ids of the tokenizer fit, else four."""
+    most = max(*byte_tokenizer(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values(), end_id)
+    return 2 if most < 1 << 16 else 4
+
+
 def tokenise(docs: DataFrame, tokenizer: str, *, end_id: int = 2) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit numbers, ``end_id`` last) of every document."""
+    """doc_id, n_tokens and ids (little-endian unsigned numbers of ``id_bytes``, ``end_id`` last) of every document."""
+    plain = f"<u{id_bytes(tokenizer, end_id)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = byte_tokenizer(tokenizer)
@@ -122,21 +129,21 @@ def tokenise(docs: DataFrame, tokenizer: str, *, end_id: int = 2) -> DataFrame:
             counts, kept = [], []
             for ids in words.encode(batch.column("text"), end_id):
                 counts.append(len(ids))
-                kept.append(ids.astype("<u4").tobytes())
+                kept.append(ids.astype(plain).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_tokens", "ids"])
         pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
-def frequencies(tokens: DataFrame) -> DataFrame:
+def frequencies(tokens: DataFrame, width: int) -> DataFrame:
     """(id, n) of every id that occurs: summed within each task, then over tasks; at most a row per id of the tokenizer."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                own = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
                 small, sums = sorted((own, sums), key=len)
                 sums[: len(small)] += small
         some = np.flatnonzero(sums)
@@ -226,7 +233,8 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = materialise(tokenise(docs, tokenizer, end_id=end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    counted = sorted(((-r["n"], r["id"]) for r in frequencies(tokens).collect()))
+    width = id_bytes(tokenizer, end_id)
+    counted = sorted((-r["n"], r["id"]) for r in frequencies(tokens, width).collect())
     by_rank = np.array([i for _, i in counted], "<u4")
     ranks = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -261,7 +269,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2
                     room = file_ids - out.ids
                     b = min(len(batch), a + 1 + int(np.searchsorted(np.cumsum(counts[a:]), room)))
                     for ids in batch.column("ids").slice(a, b - a):
-                        out.add(ranks[np.frombuffer(ids.as_buffer(), "<u4")])
+                        out.add(ranks[np.frombuffer(ids.as_buffer(), f"<u{width}")])
                     listed.append(batch.select(["doc_id", "n_tokens", "row"]).slice(a, b - a))
                     a = b
                     if out.ids >= file_ids:
