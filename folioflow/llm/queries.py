@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfiles, jaccard, langid, licenses, mixing, packing, scoring, topk, toxicity, vector_dedup, warc
+from . import elkan, idfiles, jaccard, langid, licenses, mixing, packing, scoring, topk, toxicity, vector_dedup, warc
 from ._work import materialise, temporary
 
 
@@ -55,6 +55,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with temporary(spark):
+        return materialise(elkan.compress(_table(spark, sf_dir, "embeddings")), "coded", keep=True)
+
+
 def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with temporary(spark):  # the files go when their documents have been read
         return materialise(idfiles.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "id-documents", keep=True)
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op11_elkan_codes": op11_elkan_codes,
     "op13_id_files": op13_id_files,
 }
 
@@ -80,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op7_mix_sources": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op11_elkan_codes": elkan.ORACLE,
 }
