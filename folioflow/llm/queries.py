@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import elkan, idfiles, jaccard, langid, licenses, mixing, packing, scoring, topk, toxicity, vector_dedup, warc
+from . import elkan, idfiles, jaccard, langid, licenses, mixing, packing, scoring, topk, toxicity, trie, vector_dedup, warc
 from ._work import materialise, temporary
 
 
@@ -60,6 +60,11 @@ def op11_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialise(elkan.compress(_table(spark, sf_dir, "embeddings")), "coded", keep=True)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with temporary(spark):
+        return materialise(trie.prefix_trie(_table(spark, sf_dir, "conversations")), "trie", keep=True)
+
+
 def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with temporary(spark):  # the files go when their documents have been read
         return materialise(idfiles.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "id-documents", keep=True)
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
     "op11_elkan_codes": op11_elkan_codes,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_id_files": op13_id_files,
 }
 
@@ -87,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
     "op11_elkan_codes": elkan.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
 }
