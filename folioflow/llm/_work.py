@@ -67,16 +67,16 @@ def own_dir(spark: SparkSession, tag: str, *, keep: bool = False) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str, *, keep: bool = False, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, *, keep: bool = False, by: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The result does not depend on executors that computed ``df``. ``keep``: it outlives
     the ``temporary`` block in which it is written. ``by``: a column of few values, the
-    last one, by which the files are laid out.
+    last one, by which the files are laid out. ``codec``: their compression.
     """
     spark = df.sparkSession
     path = own_dir(spark, tag, keep=keep)
-    df.write.parquet(path, partitionBy=by)
+    df.write.parquet(path, partitionBy=by, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

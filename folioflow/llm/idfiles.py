@@ -232,7 +232,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = materialise(tokenise(docs, tokenizer, end_id=end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = materialise(tokenise(docs, tokenizer, end_id=end_id).withColumn("row", F.monotonically_increasing_id()), "tokens", codec="zstd")
     width = id_bytes(tokenizer, end_id)
     counted = sorted((-r["n"], r["id"]) for r in frequencies(tokens, width).collect())
     by_rank = np.array([i for _, i in counted], "<u4")
