@@ -44,7 +44,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with temporary(spark):  # the archives go when their records have been read
+        found = warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        return materialise(found, "records", keep=True)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-
 import re
 import uuid
 import zlib
@@ -20,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import fresh_dir, materialise
+from ._work import materialise, own_dir
 
 #: Fixed profile of revisit records in WARC 1.1.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,12 +29,14 @@ INDEX = "file string, offset long, length long, page_id long, url string, payloa
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def classify(pages: DataFrame, *, least_bytes: int = 1000) -> DataFrame:
+def classify(pages: DataFrame, *, least_bytes: int = 1000, few_groups: int = 500_000) -> DataFrame:
     """Adds payload (null html: empty), payload_bytes, payload_sha1, record_type and refers_to.
 
     Of pages with equal payloads of at least ``least_bytes``, the one with the largest
     page_id is the response and the others revisit it. Repeated rows of that page_id are
-    all responses, and so are pages without an id if no page of the group has one.
+    all responses, and so are pages without an id if no page of the group has one. An empty
+    table gives no rows. Up to ``few_groups`` groups of copies are broadcast (some 60 bytes
+    each), so that payloads stay where they are; more of them meet their pages in a shuffle.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")})
@@ -43,6 +44,9 @@ def classify(pages: DataFrame, *, least_bytes: int = 1000) -> DataFrame:
     # with at least two pages go into the join.
     groups = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_sha1", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("copies"))
     groups = groups.filter("copies > 1").select(F.col("payload_sha1").alias("g_sha1"), F.col("payload_bytes").alias("g_bytes"), "original")
+    groups = materialise(groups, "copies")
+    if groups.count() <= few_groups:
+        groups = F.broadcast(groups)
     rows = rows.join(groups, (F.col("payload_sha1") == F.col("g_sha1")) & (F.col("payload_bytes") == F.col("g_bytes")), "left")
     revisits = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
     return rows.select(
@@ -178,9 +182,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     One row per page with its whole payload (revisits: null). Null html is an empty payload;
     null urls and page_ids stay null; repeated rows are records of their own; other columns,
-    whatever their names, are ignored; an empty table gives no rows.
+    whatever their names, are ignored; an empty table gives no rows. The archives stay until
+    the ``_work.temporary`` block ends.
     """
-    folder = fresh_dir(pages.sparkSession, "warc")
+    folder = own_dir(pages.sparkSession, "warc")
     return read_records(write_archives(pages, folder), folder)
 
 
