@@ -114,8 +114,12 @@ def gradients(net: Network, text: np.ndarray, label: np.ndarray, mask: np.ndarra
     return loss, grads
 
 
-def train(texts: list[bytes], labels: list[str], *, hidden: int = 8, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 5) -> Network:
-    """Fit a network by Adam on windows of the texts; every position of a window carries its text's label."""
+def train(texts: list[bytes], labels: list[str], *, hidden: int = 8, epochs: int = 4, least_steps: int = 225, batch: int = 256, rate: float = 0.01, seed: int = 5) -> Network:
+    """Fit a network by Adam on windows of the texts; every position of a window carries its text's label.
+
+    Few windows are read in smaller batches, of 32 at least, and more often: a network
+    needs some ``least_steps`` steps to leave the most frequent language.
+    """
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     net = Network.fresh(langs, hidden, rng)
@@ -132,7 +136,10 @@ def train(texts: list[bytes], labels: list[str], *, hidden: int = 8, epochs: int
         return net
     data, label, length = np.stack(windows), np.array(label), np.array(length)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in net.parameters()]
-    step, steps = 0, epochs * -(-len(data) // batch)
+    batch = min(batch, max(32, len(data) // 50))
+    per_epoch = -(-len(data) // batch)
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    step, steps = 0, epochs * per_epoch
     for _ in range(epochs):
         order = rng.permutation(len(data))
         for at in range(0, len(data), batch):
@@ -225,22 +232,25 @@ def predict(net: Network | Reader, data: np.ndarray, offsets: np.ndarray) -> np.
     return pooled / np.maximum(sizes, 1)[:, None]
 
 
-def fit(labelled: DataFrame, *, per_language: int = 1200, excerpt: int = 384, **options) -> Network:
+def fit(labelled: DataFrame, *, per_language: int = 1200, most_languages: int = 200, excerpt: int = 384, **options) -> Network:
     """Train on at most ``per_language`` excerpts (characters, somewhere in the text) of each language.
 
-    ``labelled`` has doc_id, text and lang. The sample is the texts with the smallest
+    ``labelled`` has doc_id, text and lang. Only the ``most_languages`` values of lang with
+    the most texts (ties by code point) are learned. The sample is the texts with the smallest
     hash of their ids, so reruns agree; it is the only thing that comes to the driver.
+    Null langs and null or empty texts teach nothing; without any text, nothing is learned.
+    Repeated rows have one hash and are taken or left alike, up to the bound.
     """
     spread = F.xxhash64(F.lit("lang-sample"), "doc_id")
     place = F.pmod(F.shiftrightunsigned(spread, 8), F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     rows = rows.select("lang", spread.alias("spread"), F.substring(F.col("text"), place, F.lit(excerpt)).alias("part"))
     # Hashes are even: a share of them that holds per_language texts, and some to spare, is known from counts.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return train([], [], **options)
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.25 * per_language + 100) / n))))
-    near = rows.filter(F.pmod("spread", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40)).collect()
+    near = rows.filter(F.pmod("spread", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40)).collect()  # null share: not learned
     chosen: dict[str, list] = {}
     for lang, spread, part in sorted((r["lang"], r["spread"] % (1 << 40), r["part"]) for r in near):
         if len(chosen.setdefault(lang, [])) < per_language:
@@ -296,14 +306,14 @@ def languages(docs: DataFrame, *, mod: int = 4, held_out: int = 2, **options) ->
     return found.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, *, least_score: float = 0.3, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, *, least_score: float = 0.0, **options) -> DataFrame:
     """The documents in which some learned language is recognised.
 
-    Those without letters (null and empty texts among them) and those in which no language
-    reaches ``least_score`` go. Short clean texts score from 0.35 and random letters and
-    digits from 0.34 to 0.7 (sf0.1), so a threshold that keeps clean texts rejects next to
-    nothing that has letters. Columns stay as they are, whatever their names; repeated rows
-    stay or go alike; an empty table gives no rows.
+    Those without letters go (null and empty texts among them), and those in which no
+    language reaches ``least_score``. By default there is no such threshold: scores of short
+    clean texts and of random letters overlap, so any threshold would lose clean texts.
+    Columns stay as they are, whatever their names; repeated rows stay or go alike; an
+    empty table gives no rows, and without any lang nothing is recognised.
     """
     found = identify(docs, fit(docs.select("doc_id", "text", "lang"), **options))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
