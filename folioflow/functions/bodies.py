@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def integer_token(text: Column) -> Column:
@@ -129,11 +134,32 @@ def cursor_fields(value: Column) -> Column:
 
 
 def size_label(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB, one decimal from MB on."""
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.round(n / 1024).cast("long").cast("string"), F.lit(" KB")))
-        .when(n < 1 << 30, F.format_string("%.1f MB", n / (1 << 20))).otherwise(F.format_string("%.1f GB", n / (1 << 30)))
-    )
+    """Bytes as B, KB or MB with thousands separators, MB with one decimal; empty for negative or unknown sizes."""
+    mb = F.concat(F.regexp_replace(F.format_number(n / (1 << 20), 1), ",", ""), F.lit("MB"))
+    kb = F.concat(F.format_number(F.floor(n / 1024 + 0.5), 0), F.lit("KB"))
+    return F.when(n >= 1 << 20, mb).when(n >= 1 << 10, kb).when(n >= 0, F.concat(F.format_number(n, 0), F.lit("B"))).otherwise("")
+
+
+#: Labels of times and durations.
+JUST_NOW, AGO, AHEAD = "방금", "전", "후"
+TIME_UNITS = {"day": "일", "hour": "시간", "minute": "분"}
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """How far a time is from ``now`` in rounded minutes, hours or days; empty for no time."""
+    half_up = lambda x: F.floor(x + 0.5).cast("long")
+    minutes = half_up((F.unix_micros(at) - F.unix_micros(now)) / 60_000_000)
+    hours = half_up(minutes / 60)
+    told = lambda n, unit: F.concat(F.abs(n).cast("string"), F.lit(f"{TIME_UNITS[unit]} "), F.when(n > 0, AHEAD).otherwise(AGO))
+    label = F.when(F.abs(minutes) < 1, JUST_NOW).when(F.abs(minutes) < 60, told(minutes, "minute")).when(F.abs(hours) < 24, told(hours, "hour")).otherwise(told(half_up(hours / 24), "day"))
+    return F.when(at.isNull(), "").otherwise(label)
+
+
+def minutes_label(milliseconds: Column) -> Column:
+    """A duration in rounded minutes, from an hour on in hours and the minutes left."""
+    minutes = F.floor(milliseconds / 60_000 + 0.5).cast("long")
+    left = F.when(minutes % 60 > 0, F.concat(F.lit(" "), (minutes % 60).cast("string"), F.lit(TIME_UNITS["minute"]))).otherwise("")
+    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(TIME_UNITS["minute"]))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(TIME_UNITS["hour"]), left))
 
 
 def owner_hash(owner: Column) -> Column:
@@ -141,9 +167,15 @@ def owner_hash(owner: Column) -> Column:
     return F.substring(F.sha2(owner, 256), 1, 16)
 
 
-def clean_name(name: Column, most: int = 30) -> Column:
-    """Spaces collapsed, at most ``most`` letters, null if nothing is left."""
-    return F.nullif(F.trim(F.substring(F.trim(F.regexp_replace(name, r"\s+", " ")), 1, most)), F.lit(""))
+@F.pandas_udf(StringType())
+def clean_name(name: pd.Series) -> pd.Series:
+    """A name in composed form, white space collapsed, at most 30 UTF-16 units; null if nothing is left."""
+
+    def cleaned(text: str | None) -> str | None:
+        whole = " ".join(unicodedata.normalize("NFC", text or "").split())
+        return whole.encode("utf-16-le")[:60].decode("utf-16-le", "ignore") or None
+
+    return name.map(cleaned)
 
 
 def date_label(raw: Column) -> Column:
@@ -175,9 +207,28 @@ def media_path_key(url: Column, hosts: tuple[str, ...]) -> Column:
     return F.when(known & F.regexp_like(key, F.lit(r"^[a-z0-9]{2,20}/[a-f0-9]{16,128}\.(?:png|jpe?g|webp|gif|avif)$")), key)
 
 
-def cover_initial(title: Column) -> Column:
-    """The first letter of a title after tags and punctuation, in upper case."""
-    return F.nullif(F.upper(F.substring(F.regexp_replace(title, r"^(?:\s*(?:\[[^\]]*\]|\([^)]*\)))*[\s\p{P}\p{S}]*", ""), 1, 1)), F.lit(""))
+#: Brackets of the tags before a title.
+TAG_BRACKETS = {"[": "]", "【": "】", "(": ")", "〈": "〉", "<": ">"}
+_CLUSTER = regex.compile(r"\X")
+
+
+@F.pandas_udf(StringType())
+def cover_initial(title: pd.Series) -> pd.Series:
+    """The first letter, as readers see it, of a title after its tags and punctuation, in upper case.
+
+    A title of nothing else has its own first character, an empty or null one has ``?``.
+    """
+
+    def initial(text: str | None) -> str:
+        rest = text = (text or "").strip()
+        while rest[:1] in TAG_BRACKETS and rest and (end := rest.find(TAG_BRACKETS[rest[0]], 1)) > 0:
+            rest = rest[end + 1 :].lstrip()
+        while rest and (rest[0].isspace() or unicodedata.category(rest[0])[0] == "P"):
+            rest = rest[1:]
+        found = _CLUSTER.match(rest or text)
+        return found[0].upper() if found else "?"
+
+    return title.map(initial)
 
 
 def board_body(raw: Column, hosts: tuple[str, ...]) -> Column:

@@ -1,16 +1,19 @@
-"""Titles: normal form, base title, episode and status, series keys."""
+"""Titles: normal form, base title, episode and status, series keys.
+
+Titles are read from their end by small helpers that take one word, number or mark off at
+a time; they run in Arrow UDFs, one pass per title.
+"""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from folioflow.functions.text import nfkc
-
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
@@ -23,22 +26,174 @@ def key(text: Column) -> Column:
     return F.regexp_replace(folded(text), r"(?U)[^\w]+", "")
 
 
-TAGS = r"^\s*(?:(?:\[[^\]]*\]|\([^)]*\)|【[^】]*】|<[^>]*>)\s*)+"
-#: The tags that may stand before a title, status marks, and the ranks of special episodes.
-LEADING = r"^(?:\s*\[(?:연재|번역|aa|팬픽|소설|작품)\]\s*)+"
-STATUS = r"\s*(?:\((완|완결|수정|재업)\)|\[(완|완결|수정|재업)\]|(完))\s*$"
+# The words that titles are made of. All are in folded form.
+#: Tags that may stand before a title, in square brackets.
+TITLE_TAGS = ("연재", "번역", "aa", "팬픽", "소설", "작품")
+#: Marks of a title's state, in round or square brackets, and one that stands alone.
+STATES = ("완", "완결", "수정", "재업")
+BARE_STATE = "完"
+#: What counts seasons, volumes and episodes behind a number; those of ``SHORT_UNITS`` may have a subtitle behind a colon.
+SEASON_UNITS = ("기", "시즌", "season")
+VOLUME_UNITS = ("권", "부", "volume", "vol.", "vol", "part")
+SHORT_UNITS = ("화", "話", "회", "장", "편")
+EPISODE_NAMES = ("chapter", "ch.", "ch", "episode", "ep.", "ep")
+#: What may stand before a number.
+ORDINAL = "제"
+#: Words for special episodes with their class: before (0), between (1), beside (2) and behind (3) the others.
 SPECIALS = {"프롤로그": 0, "서장": 0, "prologue": 0, "막간": 1, "interlude": 1, "외전": 2, "특별편": 2, "에필로그": 3, "epilogue": 3}
-_NUMBER = r"(\d+(?:\.\d+)?)"
-#: Episode forms in order of priority, and their groups: season, volume, first, last episode, subtitle (0: none).
-FORMS = (
-    (rf"((?:(\d+)\s*(?:기|시즌|season)\s*)?(?:(?:제\s*)?(\d+)\s*(?:권|부|volume|vol\.?|part)\s*)?(?:제\s*)?{_NUMBER}(?:\s*[~-]\s*{_NUMBER})?\s*(?:화|話|회|장|편|chapter|ch\.?|episode|ep\.?))\s*$", (2, 3, 4, 5, 0)),
-    (r"(#\s*(\d+))\s*$", (0, 0, 2, 0, 0)),
-    (r"(\(\s*(\d+)\s*\))\s*$", (0, 0, 2, 0, 0)),
-    (r"(\[\s*(\d+)\s*\])\s*$", (0, 0, 2, 0, 0)),
-    (rf"((?:chapter|ch\.?|episode|ep\.?)\s*{_NUMBER})\s*$", (0, 0, 2, 0, 0)),
-    (rf"((?:제\s*)?{_NUMBER}\s*(?:화|話|회|장|편))\s*[:：]\s*(.+)$", (0, 0, 2, 0, 3)),
-)
-SEPARATOR = r"[\s:：/\-–—·]+$"
+SIDE_STORIES = ("외전", "특별편")
+#: Marks between a title and its episode.
+BETWEEN = ":：/-–—·"
+RANGES = "~～〜-"
+
+DIGITS = "0123456789"
+
+
+def _off(text: str, words: tuple[str, ...]) -> str | None:
+    """``text`` without the longest of ``words`` at its end, or None."""
+    ends = [w for w in words if text.endswith(w)]
+    return text[: -len(max(ends, key=len))] if ends else None
+
+
+def _number(text: str, *, fraction: bool = False) -> tuple[str, str] | None:
+    """``text`` without the number at its end, and the number."""
+    rest = text.rstrip(DIGITS)
+    if rest == text:
+        return None
+    if fraction and rest.endswith(".") and rest[:-1].rstrip(DIGITS) != rest[:-1]:
+        rest = rest[:-1].rstrip(DIGITS)
+    return rest, text[len(rest) :]
+
+
+def _ordinal(text: str) -> str:
+    """``text`` without what may stand before a number."""
+    before = _off(text.rstrip(), (ORDINAL,))
+    return text if before is None else before
+
+
+def _counted(text: str, units: tuple[str, ...]) -> tuple[str, str] | None:
+    """``text`` without a whole number and one of ``units`` at its end, and the number."""
+    before = _off(text.rstrip(), units)
+    return None if before is None else _number(before.rstrip())
+
+
+def _unit_episode(text: str) -> tuple | None:
+    """(rest, season, volume, first, last) of a number or range with its unit at the end, and what counts above it."""
+    before = _off(text, SHORT_UNITS + EPISODE_NAMES)
+    last = None if before is None else _number(before.rstrip(), fraction=True)
+    if last is None:
+        return None
+    rest, number = last
+    first, end = number, None
+    joined = rest.rstrip()
+    if joined and joined[-1] in RANGES and (found := _number(joined[:-1].rstrip(), fraction=True)):
+        rest, first, end = *found, number
+    rest = _ordinal(rest)
+    volume = season = None
+    if found := _counted(rest, VOLUME_UNITS):
+        rest, volume = _ordinal(found[0]), found[1]
+    if found := _counted(rest, SEASON_UNITS):
+        rest, season = found
+    return rest, season, volume, first, end
+
+
+def _marked_episode(text: str) -> tuple | None:
+    """The same of #7, (7) and [7]."""
+    for opening, closing in (("#", ""), ("(", ")"), ("[", "]")):
+        if text.endswith(closing) and (found := _number(text[: len(text) - len(closing)].rstrip() if closing else text)):
+            before = _off(found[0].rstrip(), (opening,))
+            if before is not None:
+                return before, None, None, found[1], None
+    return None
+
+
+def _named_episode(text: str) -> tuple | None:
+    """The same of a name before the number, as in ep. 12."""
+    found = _number(text, fraction=True)
+    before = None if found is None else _off(found[0].rstrip(), EPISODE_NAMES)
+    return None if before is None else (before, None, None, found[1], None)
+
+
+def _subtitled_episode(text: str) -> tuple | None:
+    """(rest, first, label, subtitle) of the first short unit with a colon and more behind it."""
+    for colon in (k for k, c in enumerate(text) if c in ":："):
+        before = _off(text[:colon].rstrip(), SHORT_UNITS)
+        found = None if before is None else _number(before.rstrip(), fraction=True)
+        if found and text[colon + 1 :].strip():
+            rest = _ordinal(found[0])
+            return rest, found[1], text[len(rest) : colon].strip(), text[colon + 1 :].lstrip()
+    return None
+
+
+def _without_tags(title: str) -> str:
+    text = title.lstrip()
+    while tag := next((t for t in TITLE_TAGS if text.startswith(f"[{t}]")), None):
+        text = text[len(tag) + 2 :].lstrip()
+    return " ".join(text.split())
+
+
+def _state(text: str) -> tuple[str, str | None]:
+    """``text`` without a mark of its state at the end, and that."""
+    if text.endswith(BARE_STATE):
+        return text[: -len(BARE_STATE)].rstrip(), BARE_STATE
+    for word in STATES:
+        before = _off(text, (f"({word})", f"[{word}]"))
+        if before is not None:
+            return before.rstrip(), word
+    return text, None
+
+
+def _trimmed(text: str) -> str:
+    """Without marks and spaces at the end."""
+    return text.rstrip(BETWEEN + " ")
+
+
+def _ends_with_word(text: str, words: tuple[str, ...]) -> str | None:
+    """``text`` without one of the words at its end, if it stands alone there."""
+    before = _off(text.rstrip(), words)
+    return before if before is not None and (not before or before[-1].isspace()) else None
+
+
+def _whole(number: str | None) -> int:
+    return int(number) if number is not None and len(number.lstrip("0")) < 10 else 0
+
+
+def read_title(title: str | None) -> tuple:
+    """(base, label, season, volume, class, start, end, status, subtitle, reason) of a folded title."""
+    if title is None:
+        return (None,) * 9 + ("no_episode",)
+    text, status = _state(_without_tags(title))
+    found, subtitle = _unit_episode(text) or _marked_episode(text) or _named_episode(text), None
+    if found:
+        rest, season, volume, first, last = found
+        label = text[len(rest) :].strip()
+    elif parts := _subtitled_episode(text):
+        (rest, first, label, subtitle), season, volume, last = parts, None, None, None
+    else:
+        word = next((w for w in sorted(SPECIALS, key=len, reverse=True) if text.endswith(w)), None)
+        if word:
+            return _trimmed(text[: -len(word)]).strip(), word, 0, 0, SPECIALS[word], "0", "0", status, None, None
+        opened = _number(text[:-1].rstrip()) if text[-1:] in (")", "]") else None
+        numbered = opened and opened[0].rstrip()[-1:] in ("(", "[")
+        return (text,) + (None,) * 6 + (status, None, "mismatched_bracket" if numbered else "no_episode")
+    if last is not None and Decimal(last) < Decimal(first):
+        return (text,) + (None,) * 6 + (status, subtitle, "reversed_range")
+    base = _trimmed(rest)
+    side = _ends_with_word(base, SIDE_STORIES)
+    kind = 1 if side is None else 2
+    return (base if side is None else side).strip(), label, _whole(season), _whole(volume), kind, first, last or first, status, subtitle, None
+
+
+_NAMES = ("base", "label", "season", "volume", "class", "start", "end", "status", "subtitle", "reason")
+
+
+def _struct(names: tuple[str, ...], numbers: tuple[str, ...] = ()) -> StructType:
+    return StructType([StructField(n, IntegerType() if n in numbers else StringType()) for n in names])
+
+
+@F.pandas_udf(_struct(_NAMES, ("season", "volume", "class")))
+def _read_titles(titles: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_title(t) for t in titles], columns=_NAMES, dtype=object)
 
 
 def parse(title: Column) -> Column:
@@ -47,12 +202,13 @@ def parse(title: Column) -> Column:
     class is 0 for prologues, 1 for episodes and interludes, 2 for side stories and 3 for
     epilogues; (season, volume, class, start, end) is the order of a work's episodes. reason
     is reversed_range or mismatched_bracket for titles that look numbered but aren't, and
-    no_episode where nothing tells the place. Patterns are tried in order of priority.
+    no_episode where nothing tells the place. An episode is, in order of priority, a number
+    or range with its unit, a number behind # or in brackets, a number behind its unit's
+    name, and a number with its unit before a colon and a subtitle. Numbers that don't fit
+    decimal(20,6) or int count as 0.
     """
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.replace(title, F.lit("～"), F.lit("~")), F.lit("〜"), F.lit("~")), LEADING, ""), r"\s+", " "))
-    status = lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, STATUS, k), F.lit("")) for k in (1, 2, 3)))
-    whole = lambda t: F.struct(F.regexp_replace(t, STATUS, "").alias("bare"), status(t).alias("status"))
-    return _let(bare, lambda t: _let(whole(t), lambda w: _let(_episode(w["bare"]), lambda found: _placed(w["bare"], w["status"], found))))
+    exact = lambda c: F.when(c.isNotNull(), F.coalesce(c.try_cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)")))
+    return _let(_read_titles(title), lambda t: F.struct(*(exact(t[n]).alias(n) if n in ("start", "end") else t[n].alias(n) for n in _NAMES)))
 
 
 def _let(value: Column, use) -> Column:
@@ -60,52 +216,59 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _episode(bare: Column) -> Column:
-    """struct(label, season, volume, start, end, subtitle, base) by the first of ``FORMS`` that fits, all null without."""
-    nothing = F.lit(None).cast("string")
-    found = F.struct(*(nothing.alias(n) for n in ("label", "season", "volume", "start", "end", "subtitle", "base")))
-    for pattern, groups in reversed(FORMS):
-        part = lambda k, pattern=pattern: F.nullif(F.regexp_extract(bare, pattern, k), F.lit("")) if k else nothing
-        season, volume, first, last, subtitle = groups
-        hit = F.struct(
-            F.trim(part(1)).alias("label"), part(season).alias("season"), part(volume).alias("volume"), part(first).alias("start"), part(last).alias("end"),
-            part(subtitle).alias("subtitle"), F.regexp_replace(bare, pattern, "").alias("base"),
-        )
-        found = F.when(F.regexp_like(bare, F.lit(pattern)), hit).otherwise(found)
-    return found
-
-
-def _placed(bare: Column, status: Column, found: Column) -> Column:
-    numbered = found["label"].isNotNull()
-    start, end = found["start"].try_cast("decimal(20,6)"), F.coalesce(found["end"], found["start"]).try_cast("decimal(20,6)")
-    base = F.regexp_replace(found["base"], SEPARATOR, "")
-    side = numbered & F.regexp_like(base, F.lit(r"(?:^|\s)(?:외전|특별편)\s*$"))
-    word = F.nullif(F.regexp_extract(bare, rf"({'|'.join(SPECIALS)})\s*$", 1), F.lit(""))
-    special = ~numbered & word.isNotNull()
-    rank = F.element_at(F.create_map(*(F.lit(x) for pair in SPECIALS.items() for x in pair)), F.coalesce(word, F.lit("외전")))
-    reversed_range = numbered & (end < start)
-    reason = F.when(reversed_range, "reversed_range").when(~numbered & ~special & F.regexp_like(bare, F.lit(r"[(\[]\s*\d+\s*[)\]]\s*$")), "mismatched_bracket").when(~numbered & ~special, "no_episode")
-    good = reason.isNull()
-    clean = F.when(side, F.trim(F.regexp_replace(base, r"(?:^|\s)(?:외전|특별편)\s*$", ""))).when(numbered & good, F.trim(base))
-    clean = clean.when(special, F.trim(F.regexp_replace(F.regexp_replace(bare, rf"({'|'.join(SPECIALS)})\s*$", ""), SEPARATOR, ""))).otherwise(bare)
-    zero = F.lit(0).cast("decimal(20,6)")
-    return F.struct(
-        clean.alias("base"), F.when(good, F.coalesce(found["label"], word)).alias("label"),
-        F.when(good, F.coalesce(found["season"].try_cast("int"), F.lit(0))).alias("season"), F.when(good, F.coalesce(found["volume"].try_cast("int"), F.lit(0))).alias("volume"),
-        F.when(good, F.when(special, rank).when(side, 2).otherwise(1)).alias("class"), F.when(good, F.coalesce(start, zero)).alias("start"), F.when(good, F.coalesce(end, zero)).alias("end"),
-        status.alias("status"), found["subtitle"].alias("subtitle"), reason.alias("reason"),
-    )
-
-
 def display_title(title: Column, label: Column) -> Column:
     """The title in its own spelling without the episode label at its end; the label is found in any case."""
     ends = label.isNotNull() & F.endswith(F.lower(F.rtrim(title)), F.lower(label))
-    return F.when(ends, F.trim(F.regexp_replace(F.substring(F.rtrim(title), F.lit(1), F.length(F.rtrim(title)) - F.length(label)), SEPARATOR, ""))).otherwise(F.trim(title))
-
-
-#: The tags before a thread's title, and the number at its end with what may stand around it.
-SERIES_TAGS = r"^\s*(?:[\[【][^\]】]*[\]】]\s*)+"
-SERIES_NUMBER = r"[\s\-–—:~.]*[(\[【<〈《]?[\s\-–—:~]*\d+\s*(?:어장|편|기|화|부|차)?[\s\-–—:~]*[)\]】>〉》]?[\s\-–—:~.]*\z"
+    bare = F.substring(F.rtrim(title), F.lit(1), F.length(F.rtrim(title)) - F.length(label))
+    return F.when(ends, F.trim(F.regexp_replace(bare, rf"[\s{BETWEEN.replace('-', chr(92) + '-')}]+$", ""))).otherwise(F.trim(title))
+
+
+# Fixed values of threads' titles: brackets of tags before them, and what may stand around the number behind them.
+SERIES_TAGS = {"[": "]】", "【": "]】"}
+SERIES_UNITS = ("어장", "편", "기", "화", "부", "차")
+LOOSE = " -–—:~"
+OPENING, CLOSING = "([【<〈《", ")]】>〉》"
+
+
+def _loose(text: str, more: str = "") -> str:
+    """Without spaces of any kind and loose marks at the end."""
+    while text and (text[-1].isspace() or text[-1] in LOOSE + more):
+        text = text[:-1]
+    return text
+
+
+def _without_number(text: str) -> str:
+    """``text`` without a number at its end and what stands around it; as it is without one."""
+    rest = _loose(text, ".")
+    rest = _loose(rest[:-1] if rest and rest[-1] in CLOSING else rest)
+    counted = _off(rest, SERIES_UNITS)
+    found = _number((rest if counted is None else counted).rstrip())
+    if found is None:
+        return text
+    rest = _loose(found[0])
+    return _loose(rest[:-1] if rest and rest[-1] in OPENING else rest, ".")
+
+
+def series_parts(title: str | None) -> tuple[str, str]:
+    """(stem, tags) of a thread's title."""
+    whole = unicodedata.normalize("NFKC", title or "").strip()
+    rest = whole
+    while rest.lstrip()[:1] in SERIES_TAGS and rest.lstrip():
+        text = rest.lstrip()
+        ends = [k for c in SERIES_TAGS[text[0]] if (k := text.find(c, 1)) > 0]
+        if not ends:
+            break
+        rest = text[min(ends) + 1 :]
+    tags = whole[: len(whole) - len(rest)].strip()
+    rest = rest.lstrip() if tags else rest
+    stem = " ".join(_without_number(rest).split()) or " ".join(rest.split()) or whole
+    return stem, tags
+
+
+@F.pandas_udf(_struct(("stem", "tags", "folded")))
+def _series(titles: pd.Series) -> pd.DataFrame:
+    found = [series_parts(t) for t in titles]
+    return pd.DataFrame([(stem, tags, unicodedata.normalize("NFKC", stem).casefold()) for stem, tags in found], columns=["stem", "tags", "folded"], dtype=object)
 
 
 def series(title: Column, username: Column) -> Column:
@@ -114,25 +277,35 @@ def series(title: Column, username: Column) -> Column:
     The key is the first 16 hex digits of SHA-256 over the author's trip (what follows ◆, else
     the whole name) and the folded stem. A title of nothing else keeps its number, then its tags.
     """
-    normal = F.regexp_replace(nfkc(F.coalesce(title, F.lit(""))), r"(?U)^\s+|\s+$", "")
-    name = F.coalesce(username, F.lit(""))
-    trip = F.regexp_replace(F.when(F.contains(name, F.lit("◆")), F.regexp_extract(name, r"(?s)◆(.*)$", 1)).otherwise(name), r"(?U)^\s+|\s+$", "")
-    spaced = lambda t: F.nullif(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), F.lit(""))
+    parts = F.split(F.coalesce(username, F.lit("")), "◆", 2)
+    trip = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))), r"(?U)^\s+|\s+$", "")
+    return _let(_series(title), lambda s: F.struct(F.substring(F.sha2(F.concat(trip, F.lit("\n"), s["folded"]), 256), 1, 16).alias("key"), s["stem"].alias("stem"), s["tags"].alias("tags")))
+
+
+#: Signs of an episode in a label, and the letter that makes them count rounds instead.
+EPISODE_SIGNS = ("화", "話", "회")
+ROUND_SIGN = "차"
+
 
-    def parts(whole: Column) -> Column:
-        rest = F.regexp_replace(whole, SERIES_TAGS, "")
-        stem = F.coalesce(spaced(F.regexp_replace(rest, SERIES_NUMBER, "")), spaced(rest), whole)
-        return F.struct(stem.alias("stem"), F.trim(F.regexp_extract(whole, f"({SERIES_TAGS})", 1)).alias("tags"))
+@F.pandas_udf(LongType())
+def _episode_numbers(labels: pd.Series) -> pd.Series:
+    sign = re.compile(rf"([0-9]+)\s*(?:{'|'.join(EPISODE_SIGNS)})(?!{ROUND_SIGN})")
 
-    found = _let(normal, parts)
-    key = F.substring(F.sha2(F.concat(trip, F.lit("\n"), folded(found["stem"])), 256), 1, 16)
-    return F.struct(key.alias("key"), found["stem"].alias("stem"), found["tags"].alias("tags"))
+    def last(label: str | None) -> int | None:
+        found = sign.findall(unicodedata.normalize("NFKC", label or ""))
+        return int(found[-1]) if found and len(found[-1].lstrip("0")) < 19 else None
+
+    return pd.Series([last(t) for t in labels], dtype="Int64")
 
 
 def episode_number(label: Column) -> Column:
-    """The last number of a label that an episode sign follows, else its last number."""
-    signed = F.regexp_extract_all(label, F.lit(r"(\d+)\s*(?:화|편|회|장)"), F.lit(1))
-    return F.coalesce(F.try_element_at(signed, F.lit(-1)), F.try_element_at(F.regexp_extract_all(label, F.lit(r"(\d+)"), F.lit(1)), F.lit(-1))).try_cast("long")
+    """The last number of a label with an episode sign behind it, null without one; signs that count rounds don't."""
+    return _episode_numbers(label)
+
+
+def episode_gap(number: Column, following: Column) -> Column:
+    """Episodes that lie between two numbers; none if numbering begins anew or a number is missing."""
+    return F.coalesce(F.greatest(F.lit(0), following - number - 1), F.lit(0)).cast("long")
 
 
 def reading_minutes(text: Column, per_minute: int = 500) -> Column:

@@ -42,7 +42,7 @@ def test_titles(spark):
     assert (got[10]["season"], got[10]["volume"], got[12]["subtitle"], got[15]["status"], got[1]["label"]) == (2, 3, "귀환", "수정", "4-6화")
     assert _column(spark, ["용사 이야기 제3화", "Hero EP. 3", "Plain"], titles.display_title(F.col("v"), titles.parse(titles.folded(F.col("v")))["label"])) == ["용사 이야기", "Hero", "Plain"]
     assert got[2]["status"] == "완결"
-    assert _column(spark, ["2부 13화", "Part 4", "끝", None], titles.episode_number(F.col("v"))) == [13, 4, None, None]
+    assert _column(spark, ["2부 13화", "Part 4", "끝", None], titles.episode_number(F.col("v"))) == [13, None, None, None]
     assert _column(spark, ["", "a", "foobar"], titles.fnv1a(F.col("v"))) == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
     assert _column(spark, ["😀", "a"], titles.fnv1a(F.col("v"))) == [3409036472, 0xE40C292C]  # over UTF-16 units
     assert _column(spark, ["a"], titles.hue(F.col("v"))) == [0xE40C292C % 10]
@@ -183,7 +183,7 @@ def test_bodies(spark):
     assert _column(spark, ["2024-1-2T3:04:05Z", "2024.01.02", "soon"], bodies.date_label(col)) == ["2024.01.02 03:04", "2024.01.02", "soon"]
     assert _column(spark, ["http://h/a.PNG?x=1", "http://h/a", "https://h/b.mp4#t"], bodies.media_kind(col)) == ["image", "link", "video"]
     assert _column(spark, ["https://h/a/b.png?sig=1", "x"], bodies.path_key(col)) == ["a/b.png", None]
-    assert _column(spark, ["[번역] (x) «hero»", "!!"], bodies.cover_initial(col)) == ["H", None]
+    assert _column(spark, ["[번역] (x) «hero»", "!!"], bodies.cover_initial(col)) == ["H", "!"]
     assert _column(spark, ["  a \n b  ", " "], bodies.clean_name(col)) == ["a b", None]
     assert _column(spark, ["please LOG IN", "text"], bodies.page_kind(col, {"login": "log in", "blocked": "denied"})) == ["login", "content"]
     comment = "array<struct<position:int,source_comment_id:string,parent_position:int,depth:int>>"
