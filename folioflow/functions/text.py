@@ -14,9 +14,14 @@ FIELD_BREAK = "\x01"
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode's compatibility form, which SQL lacks; null stays null. ASCII texts are passed through."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility form, which SQL lacks; null stays null. ASCII texts, which are in that form, stay in the JVM."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text)))
 
 
 def squeezed(text: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators.paging import numbered_by_blocks
+from folioflow.sources.shared import materialise, temporary
+
 
 def latest_codes(captures: DataFrame, run: str, url: str, order: str, code: str) -> DataFrame:
     """The distinct error codes of each run, of the last capture of every URL only."""
@@ -110,20 +113,15 @@ def merge_reports(reports: DataFrame, board: str, sequence: str, run: str, selec
 def spaced_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
     """``size`` rows at equal distances in order of ``key``: places round(i (n - 1) / (size - 1)), halves to even.
 
-    Places are counted over ranges of the key, so no task numbers all rows. With ``size``
-    rows or fewer all are taken; of one the first.
+    Rows are numbered by ranges of the key, so no task numbers all of them, and rows of one
+    key may go to several ranges. With ``size`` rows or fewer all are taken; of one the first.
     """
-    n = rows.count()
-    size = min(size, n)
-    if size < 1:
-        return rows.filter(F.lit(False))
-    places = sorted({round(i * (n - 1) / (size - 1)) if size > 1 else 0 for i in range(size)})
-    bounds = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    width = max(1, -(-(bounds["high"] - bounds["low"] + 1) // 256))
-    ranged = rows.withColumn("_range", F.floor((F.col(key) - bounds["low"]) / width))
-    before = ranged.groupBy("_range").count().select(F.col("_range").alias("_r"), (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # 256 rows
-    numbered = ranged.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1)
-    return numbered.filter(F.col("_place").isin(places)).drop("_range", "_r", "_before", "_place")
+    with temporary(rows.sparkSession):
+        placed = numbered_by_blocks(rows.withColumn("_tie", F.monotonically_increasing_id()), [], [F.col(key).asc_nulls_first(), F.col("_tie")], "sample")
+        n = placed.count()
+        size = min(size, n)
+        places = sorted({round(i * (n - 1) / (size - 1)) if size > 1 else 0 for i in range(size)})
+        return materialise(placed.filter(F.col("place").isin(places)).select(rows.columns), "sampled", keep=True)
 
 
 def resume_scan(rows: DataFrame, key: str, after, size: int) -> DataFrame:

@@ -81,12 +81,17 @@ def validate(search: DataFrame, boards: DataFrame, entries: DataFrame, totals: D
 
     collections, positions are 1 to n, each collection's total is its number of entries. All 0 for a valid release.
     """
-    only = search.select(key).exceptAll(boards.select(key)).count() + boards.select(key).exceptAll(search.select(key)).count()
-    twice = entries.groupBy(key).agg(F.count_distinct("collection").alias("_n")).filter("_n > 1").count()
-    facts = entries.groupBy("collection").agg(F.count("*").alias("_n"), F.min("position").alias("_low"), F.max("position").alias("_high"), F.count_distinct("position").alias("_d"))
-    gaps = facts.filter("_low <> 1 OR _high <> _n OR _d <> _n").count()
-    wrong = totals.join(facts, "collection", "full").filter(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("_n", F.lit(0)))).count()
-    return search.sparkSession.createDataFrame([("search_is_boards", only), ("one_collection", twice), ("contiguous", gaps), ("totals", wrong)], "check string, faults long")
+    both = search.select(key, F.lit(1).alias("_n")).unionAll(boards.select(key, F.lit(-1).alias("_n")))
+    only = both.groupBy(key).agg(F.sum("_n").alias("_n")).agg(F.coalesce(F.sum(F.abs("_n")), F.lit(0)).alias("search_is_boards"))
+    twice = entries.groupBy(key).agg((F.min("collection") != F.max("collection")).alias("_twice")).agg(F.count_if("_twice").alias("one_collection"))
+    facts = entries.groupBy("collection", "position").agg(F.count("*").alias("_n"))
+    facts = facts.groupBy("collection").agg(F.sum("_n").alias("_n"), F.min("position").alias("_low"), F.max("position").alias("_high"), F.count("position").alias("_d"))
+    met = totals.select("collection", F.col("n").alias("_total")).join(facts, "collection", "full")
+    gap = F.col("_n").isNotNull() & ((F.col("_low") != 1) | (F.col("_high") != F.col("_n")) | (F.col("_d") != F.col("_n")))
+    wrong = F.coalesce("_total", F.lit(0)) != F.coalesce("_n", F.lit(0))
+    counts = met.agg(F.count_if(gap).alias("contiguous"), F.count_if(wrong).alias("totals"))
+    rows = [part.unpivot([], names, "check", "faults") for part, names in ((only, ["search_is_boards"]), (twice, ["one_collection"]), (counts, ["contiguous", "totals"]))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def release_mode(known: bool, schema_changed: bool, changed: int, collections_changed: bool, limit: int = 5000) -> str:

@@ -87,15 +87,22 @@ def smart_views(works: DataFrame, views: dict[str, Column]) -> DataFrame:
 
 
 def term_index(docs: DataFrame, key: str, text: Column, trigrams: bool = False) -> DataFrame:
-    """(term, documents, places, bytes) of the words or letter trigrams of all texts."""
+    """(term, documents, places, bytes) of the words or letter trigrams of all texts.
+
+    A document's terms are sorted and counted in place, so only its distinct ones leave it.
+    Rows of one key are documents of their own.
+    """
     if trigrams:
         whole = F.coalesce(text, F.lit(""))
         letters = F.filter(F.split(whole, ""), lambda c: c != "")  # split once: a place in a text of many bytes is found by counting
         terms = F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - 2, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, F.lit(3)), ""))
     else:
         terms = F.split(F.coalesce(text, F.lit("")), r"[ \t\n\f\r]+")
-    rows = docs.select(key, F.explode(terms).alias("term")).filter("term <> ''")
-    per = rows.groupBy("term", key).agg(F.count("*").alias("_n"))
+    begins = lambda t: F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (t[i - 1] != t[i - 2]))
+    counted = lambda t, b: F.zip_with(b, F.concat(F.slice(b, 2, 1 << 30), F.array(F.size(t) + 1)), lambda i, j: F.struct(t[i - 1].alias("term"), (j - i).alias("_n")))
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    runs = once(F.array_sort(terms), lambda t: once(begins(t), lambda b: counted(t, b)))
+    per = docs.select(F.explode(runs).alias("_run")).select("_run.*").filter("term <> ''")
     return per.groupBy("term").agg(F.count("*").alias("documents"), F.sum("_n").alias("places"), F.octet_length(F.first("term")).cast("long").alias("bytes"))
 
 

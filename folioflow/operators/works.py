@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.sources.shared import materialise, temporary
+
 
 def preview(posts: DataFrame, block: list[str], base: Column, order: Column, tie: str, shortest: int = 4) -> tuple[DataFrame, DataFrame]:
     """Proposed works and the count of each reason for which a post is in none.
@@ -61,40 +61,32 @@ def merge_links(links: DataFrame, left: str, right: str) -> DataFrame:
 
     Each round takes the least label around a node and then follows labels of labels, until
     no label changes. Rounds are tables in the folder of ``spark.checkpoint.dir``, so lost
-    executors cost one round at most.
+    executors cost one round at most; they are removed at the end, but for the result.
     """
-    spark = links.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-
-    def table(frame: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/folioflow-links-{uuid.uuid4().hex}"
-        frame.write.parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
-
-    both = links.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
-    both = table(both.union(both.select("b", "a")).distinct())
-    labels = table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("canonical")))
-    while True:
-        around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("canonical").alias("_near"))
-        near = labels.join(around, "id").select("id", "canonical", F.least("canonical", "_near").alias("_next"))
-        jump = labels.select(F.col("id").alias("_next"), F.col("canonical").alias("_far"))
-        moved = table(near.join(jump, "_next", "left").select("id", F.least("_next", "_far").alias("_to"), "canonical"))
-        changed = moved.filter("_to <> canonical").limit(1).count()
-        labels = moved.select("id", F.col("_to").alias("canonical"))
-        if not changed:
-            return labels
+    with temporary(links.sparkSession):
+        both = links.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
+        both = materialise(both.union(both.select("b", "a")).distinct(), "links")
+        labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("canonical")), "labels")
+        changed = True
+        while changed:
+            around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("canonical").alias("_near"))
+            near = labels.join(around, "id").select("id", "canonical", F.least("canonical", "_near").alias("_next"))
+            jump = labels.select(F.col("id").alias("_next"), F.col("canonical").alias("_far"))
+            moved = materialise(near.join(jump, "_next", "left").select("id", F.least("_next", "_far").alias("_to"), "canonical"), "labels")
+            changed = moved.filter("_to <> canonical").limit(1).count() > 0
+            labels = moved.select("id", F.col("_to").alias("canonical"))
+        return materialise(labels, "canonical", keep=True)
 
 
 def chapter_order(chapters: DataFrame, work: str, site: str, group: str, source_position: str, parsed: list[Column]) -> DataFrame:
     """Adds place (from 1): by source position where a work has one site, one group and distinct positions, else by parsed keys."""
-    facts = chapters.groupBy(work).agg(
-        (F.min(site).eqNullSafe(F.max(site)) & (F.count(site) > 0) & F.min(group).eqNullSafe(F.max(group)) & (F.count(group) > 0) & (F.count(source_position) == F.count("*")) & (F.count_distinct(source_position) == F.count("*"))).alias("by_source")
-    )
-    rows = chapters.join(facts, work)
+    over = Window.partitionBy(work)
+    twice = F.lag(source_position).over(over.orderBy(source_position)) == F.col(source_position)
+    one = lambda c: F.min(c).over(over).eqNullSafe(F.max(c).over(over)) & (F.count(c).over(over) > 0)
+    rows = chapters.withColumn("_twice", F.coalesce(twice, F.lit(False)))
+    rows = rows.withColumn("by_source", one(site) & one(group) & (F.count(source_position).over(over) == F.count("*").over(over)) & ~F.max("_twice").over(over)).drop("_twice")
     own = F.when(F.col("by_source"), F.col(source_position))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(work).orderBy(own, *parsed)))
+    return rows.withColumn("place", F.row_number().over(over.orderBy(own, *parsed)))
 
 
 def latest_label(chapters: DataFrame, work: str, place: str, label: str, numbered: Column) -> DataFrame:

@@ -18,7 +18,7 @@ def _t(spark, sf_dir, name):
 SELECT n_name, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'F') AS n_done, count(*) AS n
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING n_open > 0 ORDER BY n_open DESC, n_done DESC, n DESC, n_name LIMIT 20""")
 def open_orders_by_nation(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     counts = rows.groupBy("n_name").agg(F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done"), F.count("*").alias("n"))
     return counts.filter("n_open > 0").orderBy(F.desc("n_open"), F.desc("n_done"), F.desc("n"), "n_name").limit(20)
 

@@ -16,7 +16,7 @@ def _t(spark, sf_dir, name):
 def _queue(spark, sf_dir):
     """Orders as a queue: nation is the board, the region its group, P waits for a retry, F has a body."""
     rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(F.broadcast(_t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(_t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(
         F.col("c_nationkey").alias("board"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("has_body"),
         F.when(F.col("o_orderstatus") == "P", "retry").otherwise("pending").alias("state"), (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"),
