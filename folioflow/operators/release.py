@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators.paging import numbered_by_blocks
+
 
 def row_hash(*fields: Column) -> Column:
     """SHA-256 of the fields as text; a null differs from an empty text."""
@@ -138,3 +140,15 @@ def unchanged_lanes(before: DataFrame, after: DataFrame, lane: str, *fields: str
     sides = [fingerprint(rows, [lane], *fields).select(lane, F.struct("n", "fingerprint").alias("_print"), F.lit(side).alias("_side")) for side, rows in enumerate((before, after))]
     prints = sides[0].unionByName(sides[1]).groupBy(lane).agg(*(F.max_by("_print", F.when(F.col("_side") == side, 1)).alias(name) for side, name in enumerate(("_old", "_new"))))
     return prints.select(lane, F.col("_old").eqNullSafe(F.col("_new")).alias("unchanged"))
+
+
+def ordered_fingerprint(rows: DataFrame, lane: str, order: list[Column], *fields: str) -> DataFrame:
+    """(lane, n, fingerprint) over a lane's rows in order: rows that swap their places change it, files and partitions don't.
+
+    Each row is hashed with its place; hashes are summed, so lanes of any length are split
+    over tasks. Rows that tie in ``order`` must be equal. Null lanes are a lane.
+    """
+    placed = numbered_by_blocks(rows, [lane], order, "fingerprint")
+    told = F.concat_ws("\x1f", F.col("place").cast("string"), *(F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("-")) for f in fields))
+    number = F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("decimal(38,0)")
+    return placed.groupBy(lane).agg(F.count("*").alias("n"), F.sum(number).cast("string").alias("fingerprint"))
