@@ -146,24 +146,32 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
     bias = float(np.log(share / (1 - share)))
     if len(rows) == 0 or len(set(toxic.tolist())) < 2:
         return Classifier(weights, bias)
-    counts = np.bincount(np.concatenate(rows), minlength=size)
-    rows = [x[counts[x] >= least] for x in rows]  # what one or two texts hold teaches nothing
-    seen, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    place = np.full(size, -1, np.int64)
+    # Texts are read a thousand at a time, so that no list of all features is made again and again.
+    parts = [rows[at : at + 1000] for at in range(0, len(rows), 1000)]
+    counts = np.zeros(size, np.int64)
+    for part in parts:
+        counts += np.bincount(np.concatenate(part), minlength=size)
+    held = counts >= max(1, least)  # what one or two texts hold teaches nothing
+    seen = np.flatnonzero(held)
+    place = np.full(size, -1, np.int32)
     place[seen] = np.arange(len(seen))
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    flats = [place[x[held[x]]] for x in map(np.concatenate, parts)]
+    sizes = [np.array([int(held[x].sum()) for x in part]) for part in parts]
     starts = np.cumsum([0, *(int(p[0].max()) + 1 if len(p[0]) else 0 for p in pairs)])
     swap = np.concatenate([p[0] + start for p, start in zip(pairs, starts, strict=False)] or [np.zeros(0, int)])
     feature, sign = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, int)]) for k in (1, 2))
-    held = place[feature] >= 0
-    swap, feature, sign = swap[held], place[feature[held]], sign[held].astype(float)
+    known = place[feature] >= 0
+    swap, feature, sign = swap[known], place[feature[known]], sign[known].astype(float)
     count = max(1, int(starts[-1]))
     w, m, v = (np.zeros(len(seen)) for _ in range(3))
     for step in range(1, steps + 1):
-        odds = bias + np.bincount(doc, w[flat], len(rows))
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        error = (p - toxic) / len(rows)
-        grad = np.bincount(flat, error[doc], len(seen))
+        grad, total, at = np.zeros(len(seen)), 0.0, 0
+        for flat, own in zip(flats, sizes, strict=True):
+            doc = np.repeat(np.arange(len(own)), own)
+            odds = bias + np.bincount(doc, w[flat], len(own))
+            error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - toxic[at : at + len(own)]) / len(rows)
+            grad += np.bincount(flat, error[doc], len(seen))
+            total, at = total + float(error.sum()), at + len(own)
         change = np.bincount(swap, sign * w[feature], count)
         grad += 2 * fairness / count * np.bincount(feature, sign * change[swap], len(seen))
         m = 0.9 * m + 0.1 * grad
@@ -172,7 +180,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
         scale = now / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         w -= scale * m / (1 - 0.9**step)
         w = np.maximum(w - np.minimum(scale, 1e3) * sparsity, 0)
-        bias -= rate * float(error.sum())
+        bias -= rate * total
     weights[seen] = w
     return Classifier(weights, bias)
 
