@@ -215,3 +215,21 @@ def reviewed_links(candidates: DataFrame, decisions: DataFrame, left: str, right
     said = decisions.select(*ends, order, "decision").groupBy(left, right).agg(F.max_by("decision", order).alias("_said"))
     rows = candidates.select(*ends, "certain").groupBy(left, right).agg(F.max("certain").alias("_certain")).join(said, [left, right], "full")
     return rows.filter((F.col("_said") == "accept") | (F.col("_said").isNull() & F.col("_certain"))).select(left, right)
+
+
+def split_links(labels: DataFrame, links: DataFrame, removed: DataFrame, left: str, right: str) -> DataFrame:
+    """(id, canonical) after links were taken back by hand: only groups in which one stood are joined again.
+
+    ``labels`` are those of all ``links``, ``removed`` the links taken back, in either
+    direction. Members that no link holds any more are groups of their own; the labels of
+    all other groups stay as they are. Removed links that never were change nothing.
+    """
+    both = removed.select(F.col(left).alias("_a"), F.col(right).alias("_b"))
+    both = both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
+    was = links.join(both, (F.col(left) == F.col("_a")) & (F.col(right) == F.col("_b")), "left_semi")
+    touched = was.join(labels, F.col(left) == F.col("id")).select("canonical").distinct()
+    members = labels.join(touched, "canonical", "left_semi")
+    inside = links.join(members.select(F.col("id").alias("_id")), F.col(left) == F.col("_id"), "left_semi").join(both, (F.col(left) == F.col("_a")) & (F.col(right) == F.col("_b")), "left_anti")
+    again = merge_links(inside, left, right).select("id", F.col("canonical").alias("_new"))
+    parted = members.select("id").join(again, "id", "left").select("id", F.coalesce("_new", "id").alias("canonical"))
+    return labels.join(touched, "canonical", "left_anti").select("id", "canonical").unionByName(parted)

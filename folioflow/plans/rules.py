@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folioflow.catalogue import query
 from folioflow.functions import bodies, hangul, titles
-from folioflow.operators import merge, release
+from folioflow.operators import merge, release, suggest, works
 from folioflow.sources.migrations import Schema, Step
+from folioflow.sources.shared import materialise, temporary
 
 
 def _t(spark, sf_dir, name):
@@ -150,3 +151,23 @@ def chapter_states(spark, sf_dir):
     names = F.array(*map(F.lit, ("complete", "review", "held", "discovered", "waiting", "unknown")))
     state = lambda c: F.get(names, (F.col(c) % 7).cast("int"))
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", merge.chapter_status(state("l_partkey"), state("l_suppkey")).alias("status"))
+
+
+@query("c11_near_words", r"""WITH t AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> ''), d AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM conversations) WHERE w <> '')
+SELECT t.w AS typed, d.w AS word, levenshtein(t.w, d.w)::INT AS slips FROM t JOIN d ON abs(length(t.w) - length(d.w)) <= 1 AND levenshtein(t.w, d.w) <= 1""")
+def near_words(spark, sf_dir):
+    """Words of conversations that are at most a slip from a word of the benchmark."""
+    words = lambda name: _t(spark, sf_dir, name).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter("w <> ''").distinct()
+    return suggest.near_words(words("benchmark"), "w", suggest.slip_index(words("conversations"), "w"))
+
+
+@query("e7_split_groups", """SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 AND c_custkey % 10 > 0 THEN c_custkey ELSE min(CASE WHEN NOT (c_nationkey % 3 = 0 AND c_custkey % 10 > 0) THEN c_custkey END) OVER (PARTITION BY c_custkey // 10) END AS canonical
+FROM customer WHERE c_custkey // 10 IN (SELECT c_custkey // 10 FROM customer WHERE c_custkey % 10 = 0) AND c_custkey // 10 IN (SELECT c_custkey // 10 FROM customer GROUP BY 1 HAVING count(*) > 1)""")
+def split_groups(spark, sf_dir):
+    """Groups of ten customers linked to the first of them, from which those of some nations are taken back."""
+    customer = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") - F.col("c_custkey") % 10).alias("head"))
+    heads = customer.select(F.col("c_custkey").alias("head"))
+    links = customer.filter("c_custkey <> head").join(heads, "head").select(F.col("head").alias("a"), F.col("c_custkey").alias("b"), "c_nationkey")
+    with temporary(spark):
+        labels = works.merge_links(links, "a", "b")
+        return materialise(works.split_links(labels, links.select("a", "b"), links.filter("c_nationkey % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")), "a", "b"), "split", keep=True)
