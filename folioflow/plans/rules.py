@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from folioflow.catalogue import query
 from folioflow.functions import bodies, hangul, titles
 from folioflow.operators import merge, release, suggest, works
+from folioflow.sources import captures
 from folioflow.sources.migrations import Schema, Step
-from folioflow.sources.shared import materialise, temporary
+from folioflow.sources.shared import materialise, own_dir, temporary
 
 
 def _t(spark, sf_dir, name):
@@ -171,3 +172,15 @@ def split_groups(spark, sf_dir):
     with temporary(spark):
         labels = works.merge_links(links, "a", "b")
         return materialise(works.split_links(labels, links.select("a", "b"), links.filter("c_nationkey % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")), "a", "b"), "split", keep=True)
+
+
+@query("a16_captures", """SELECT DISTINCT url, sha256(html) AS raw_sha256, octet_length(encode(html))::BIGINT AS bytes FROM (SELECT regexp_replace(url, '#.*$', '') AS url, html FROM pages WHERE html IS NOT NULL)""")
+def stored_captures(spark, sf_dir):
+    """Pages, without the fragments of their addresses, written as captures in two batches that overlap and read back."""
+    pages = _t(spark, sf_dir, "pages").select(F.regexp_replace("url", "#.*$", "").alias("url"), F.lit(200).alias("status"), F.encode("html", "UTF-8").alias("body"), "page_id")
+    with temporary(spark):
+        path = own_dir(spark, "captures")
+        captures.store_captures(pages.filter("page_id % 3 > 0"), path)
+        captures.store_captures(pages, path)
+        rows = spark.read.format("captures").option("path", path).load()
+        return materialise(rows.select("url", F.sha2("body", 256).alias("raw_sha256"), F.octet_length("body").cast("long").alias("bytes")), "captured", keep=True)
