@@ -43,13 +43,13 @@ def discover_posts(spark, sf_dir):
     return merge.discover(stored, listed, ["doc_id"], "at").drop("latest_version_id").withColumnRenamed("count", "n")
 
 
-@query("f3_replace_comments", """WITH c AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') SELECT l_orderkey, l_partkey, l_quantity AS quantity FROM lineitem WHERE l_linenumber < 4 AND l_orderkey NOT IN (FROM c)
+@query("f3_replace_comments", """WITH c AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') SELECT l_orderkey, l_partkey, l_quantity AS quantity FROM lineitem WHERE l_orderkey NOT IN (FROM c)
 UNION ALL SELECT l_orderkey, l_partkey, -l_quantity FROM lineitem WHERE l_orderkey IN (FROM c)""")
 def replace_comments(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").alias("quantity"))
     changed = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
     incoming = lines.withColumn("quantity", -F.col("quantity")).drop("l_linenumber")
-    return merge.replace_children(lines.filter("l_linenumber < 4").drop("l_linenumber"), incoming, changed, "l_orderkey")
+    return merge.replace_children(lines.drop("l_linenumber"), incoming, changed, "l_orderkey")
 
 
 @query("f4_unmodified", """SELECT c_custkey, greatest(TIMESTAMP '1997-01-01', max(o_orderdate)) AS last_seen_at FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
@@ -59,11 +59,11 @@ def unmodified(spark, sf_dir):
     return merge.touch(stored, seen, "c_custkey", ["last_seen_at"], "at")
 
 
-@query("f7_overwrite", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS source, n_chars FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 0""")
+@query("f7_overwrite", """SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) THEN NULL ELSE source END AS source, n_chars FROM documents""")
 def overwrite(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.lit(1).alias("seq"))
-    incoming = docs.filter("doc_id % 4 = 0").withColumn("source", F.lit(None).cast("string"))
-    return merge.overwrite(docs.filter("doc_id % 3 = 0"), incoming, ["doc_id"], "seq").select("doc_id", "source", "n_chars")
+    incoming = docs.join(_t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("source", F.lit(None).cast("string"))
+    return merge.overwrite(docs, incoming, ["doc_id"], "seq").select("doc_id", "source", "n_chars")
 
 
 @query("f9_keep_filled", """SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE source END), ''), lang) AS name, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), source) AS slug FROM documents""")
@@ -82,10 +82,11 @@ def segments(spark, sf_dir):
     return merge.segment_outcomes(built(turns.filter("turn < 3 AND conv_id % 4 <> 0")), built(turns), "conv_id", "sha")
 
 
-@query("f20_add_missing", "SELECT doc_id, 'old' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT DISTINCT doc_id, 'new' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+@query("f20_add_missing", "SELECT DISTINCT o_custkey AS board, 'old' AS origin FROM orders UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def add_missing(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id")
-    return merge.add_missing(docs.filter("doc_id % 2 = 0").withColumn("origin", F.lit("old")), docs.filter("doc_id % 3 = 0").withColumn("origin", F.lit("new")), ["doc_id"])
+    """Customers that have no order yet are added to those that have."""
+    known = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("board")).distinct().withColumn("origin", F.lit("old"))
+    return merge.add_missing(known, _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("board"), F.lit("new").alias("origin")), ["board"])
 
 
 @query("f21_episode_bodies", """WITH e AS (SELECT doc_id, doc_id % 10 = 0 AS paid, CASE WHEN doc_id % 3 <> 0 THEN sha256(coalesce(text, '')) END AS old, sha256(CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') || ' ' WHEN doc_id % 7 = 0 THEN 'other' ELSE coalesce(text, '') END) AS new, sha256(trim(coalesce(text, ''), ' ')) AS oc, sha256(CASE WHEN doc_id % 4 = 0 OR doc_id % 7 <> 0 THEN trim(coalesce(text, ''), ' ') ELSE 'other' END) AS nc FROM documents)

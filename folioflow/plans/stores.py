@@ -187,10 +187,10 @@ def publish_delta(spark, sf_dir):
     return release.publish_delta(lines.filter("l_linenumber IN (2, 3) AND l_returnflag = 'R'"), lines.filter("l_linenumber = 1"), "l_partkey")
 
 
-@query("h12_garbage", """SELECT p_partkey FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linenumber < 3 AND l_partkey IS NOT NULL)""")
+@query("h12_garbage", """SELECT p_partkey FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 49 AND l_partkey IS NOT NULL)""")
 def garbage(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").filter("l_linenumber < 3").withColumnRenamed("l_partkey", "p_partkey")
-    return release.garbage(_t(spark, sf_dir, "part"), [lines.filter("l_returnflag = 'A'"), lines.filter("l_returnflag = 'R'")], "p_partkey", F.col("p_size") > 10).select("p_partkey")
+    lines = _t(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")  # releases hold what was sold in quantity
+    return release.garbage(_t(spark, sf_dir, "part"), [lines.filter("l_returnflag = 'A' AND l_quantity >= 49"), lines.filter("l_returnflag = 'R' AND l_quantity >= 49")], "p_partkey", F.col("p_size") > 10).select("p_partkey")
 
 
 @query("h14_text_pages", """WITH r AS (SELECT source, doc_id, sha256(coalesce(text, '')) AS sha, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS page FROM documents)
