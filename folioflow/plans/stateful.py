@@ -65,7 +65,7 @@ q AS (
     CASE WHEN gone THEN NULL ELSE q.act END AS act, CASE WHEN gone THEN 'none' WHEN q.st = 'claimed' AND e.kind = 'claim' AND q.til <= e.tm THEN 'queued' ELSE q.st END AS st
    FROM (SELECT q.*, e.tm AS now, e.kind AS doing, (st = 'queued' AND expires <= e.tm AND NOT (e.kind = 'create' AND known[e.key] IS NOT NULL)) OR (st = 'claimed' AND e.kind = 'claim' AND til <= e.tm AND claims >= 2) AS gone FROM q JOIN e ON e.user_id = q.user_id AND e.n = q.n + 1) q
    JOIN e ON e.user_id = q.user_id AND e.n = q.n + 1)))
-SELECT user_id::VARCHAR AS "group", seq, outcome, command FROM q WHERE n > 0"""
+SELECT user_id::VARCHAR AS lane, seq, outcome, command FROM q WHERE n > 0"""
 
 
 def _command_events(rows):
@@ -82,13 +82,13 @@ _RULES = commands.CommandRules(ttl=24 * HOUR, lease=8 * HOUR)
 @query("g14_commands", _COMMANDS)
 def command_outcomes(spark, sf_dir):
     """A queue of commands for each user: what becomes of every event."""
-    return commands.command_outcomes(_command_events(_t(spark, sf_dir, "events")), _RULES)
+    return commands.command_outcomes(_command_events(_t(spark, sf_dir, "events")), _RULES).withColumnRenamed("group", "lane")
 
 
 @query("g14_command_stream", _COMMANDS)
 def command_stream(spark, sf_dir):
     """The same, decided by a stream."""
-    return runs.run_once(stateful.command_stream(_command_events(runs.read_stream(spark, f"{sf_dir}/events.parquet")), _RULES), "commands")
+    return runs.run_once(stateful.command_stream(_command_events(runs.read_stream(spark, f"{sf_dir}/events.parquet")), _RULES), "commands").withColumnRenamed("group", "lane")
 
 
 def _lease_sql(until: str) -> str:
