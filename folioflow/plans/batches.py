@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.catalogue import query
@@ -22,7 +23,8 @@ def _inbox(spark, sf_dir):
     """A batch of every customer's orders as written documents; the faults go by the keys."""
     case, batch = F.col("o_custkey") % 6, F.concat(F.lit("20240101T000000Z-pc-"), F.lpad(F.lower(F.hex("o_custkey")), 8, "0"))
     body = F.when(F.col("o_orderkey") % 5 == 4, F.concat("o_orderpriority", F.lit("\x00"))).otherwise(F.col("o_orderpriority"))
-    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", case.alias("case"), batch.alias("batch_id"), body.cast("binary").alias("content"), F.concat(F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit(".md")).alias("name"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))  # six digits of the key may stand twice in a batch
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", case.alias("case"), batch.alias("batch_id"), body.cast("binary").alias("content"), F.concat(F.lpad(place.cast("string"), 6, "0"), F.lit(".md")).alias("name"))
     kind, key = F.col("o_orderkey") % 5, F.when(F.col("case") == 3, F.col("o_custkey")).otherwise(F.col("o_orderkey"))
     item = F.struct(
         F.lit("manual_document").alias("kind"), F.concat(F.lit("manual:"), F.sha2(key.cast("string"), 256)).alias("identity"), F.lit("2024-01-01T00:00:00+09:00").alias("created_at"),
