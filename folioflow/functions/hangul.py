@@ -44,7 +44,10 @@ def jamo(text: Column) -> Column:
 
 
 def group_key(title: Column) -> Column:
-    """The index letter of a title: Hangul initial (doubled ones folded), A-Z, kana, han, or # for the rest."""
+    """The index letter of a title: Hangul initial (doubled ones folded), A-Z, kana, han, or # for the rest.
+
+    A letter whose capital is several letters (ß) is one of the rest.
+    """
     first = F.substring(F.trim(title), 1, 1)
     # The compatibility form of single consonants is another block, so these stay as they are.
     letter = F.when(F.ascii(first).between(0x3131, 0x314E), first).otherwise(F.upper(F.substring(nfkc(first), 1, 1)))
@@ -54,7 +57,7 @@ def group_key(title: Column) -> Column:
     for double, plain in FOLDED.items():
         folded = F.when(initial == double, plain).otherwise(folded)
     return (
-        F.when(code.between(FIRST, LAST) | code.between(0x3131, 0x314E), folded).when(code.between(65, 90), letter)
+        F.when(code.between(FIRST, LAST) | code.between(0x3131, 0x314E), folded).when(code.between(65, 90) & (F.length(letter) == 1), letter)
         .when(code.between(0x3040, 0x30FF), "kana").when(code.between(0x3400, 0x4DBF) | code.between(0x4E00, 0x9FFF), "han").otherwise("#")
     )
 
