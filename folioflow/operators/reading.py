@@ -39,6 +39,15 @@ def current_streak(streaks: DataFrame, keys: list[str], today: Column) -> DataFr
     return streaks.groupBy(*keys).agg(F.coalesce(F.max(F.when(alive, F.col("days"))), F.lit(0)).alias("streak"))
 
 
+def decimal_sum(value: Column) -> Column:
+    """The sum of doubles by their decimal digits (nine behind the point), so that the order of addition can't move it over a limit.
+
+    Groups with values that have no such digits (not finite, 10^19 and more) have the sum of doubles.
+    """
+    digits = value.try_cast("decimal(28,9)")
+    return F.when(F.count_if(value.isNotNull() & digits.isNull()) == 0, F.sum(digits).cast("double")).otherwise(F.sum(value))
+
+
 def heat_level(seconds: Column) -> Column:
     """0 under a minute, then 1 to 4 from 1, 10, 30 and 60 minutes."""
     return F.when(seconds < 60, 0).when(seconds < 600, 1).when(seconds < 1800, 2).when(seconds < 3600, 3).otherwise(4)

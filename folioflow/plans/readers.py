@@ -35,7 +35,7 @@ def current_streak(spark, sf_dir):
 SELECT user_id, day, CASE WHEN s < 60 THEN 0 WHEN s < 600 THEN 1 WHEN s < 1800 THEN 2 WHEN s < 3600 THEN 3 ELSE 4 END AS level FROM d""")
 def heat_levels(spark, sf_dir):
     """The value of an event stands for a third of a minute."""
-    daily = _t(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.sum("value") * 20).alias("s"))
+    daily = _t(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg((reading.decimal_sum(F.col("value")) * 20).alias("s"))
     return daily.select("user_id", "day", reading.heat_level(F.col("s")).alias("level"))
 
 
