@@ -148,10 +148,10 @@ def pinned_key(rule: Column, pin: Column) -> Column:
 
 def same_chapters(left: DataFrame, right: DataFrame, work: str, label: str) -> DataFrame:
     """(work, equal, shared) of works on both sides: whether their labels are the same multiset, and how many labels are unique on both."""
-    a = left.groupBy(work, label).agg(F.count("*").alias("_a"))
-    b = right.groupBy(work, label).agg(F.count("*").alias("_b"))
-    both = a.join(b, [work, label], "full")
-    facts = both.groupBy(work).agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"), F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("shared"), F.count("_a").alias("_n"), F.count("_b").alias("_m"))
+    unknown = F.col(work).isNull() | F.col(label).isNull()  # a null is no other side's null
+    side = lambda rows, a: rows.select(work, label, F.lit(a).alias("_left"), F.when(unknown, a).alias("_alone"))
+    counts = side(left, True).unionAll(side(right, False)).groupBy(work, label, "_alone").agg(F.count_if("_left").alias("_a"), F.count_if(~F.col("_left")).alias("_b"))
+    facts = counts.groupBy(work).agg(F.bool_and(F.col("_a") == F.col("_b")).alias("equal"), F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("shared"), F.max("_a").alias("_n"), F.max("_b").alias("_m"))
     return facts.filter("_n > 0 AND _m > 0").select(work, "equal", "shared")
 
 
