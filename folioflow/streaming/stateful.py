@@ -25,7 +25,8 @@ def use_state_store(spark: SparkSession) -> None:
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A key's rows of one batch in order of time; a batch holds what has come since the last one."""
-    return pd.concat(list(rows)).sort_values(["at", "seq"])
+    frames = list(rows)
+    return (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(["at", "seq"])
 
 
 def _none(value):
@@ -45,17 +46,21 @@ class Commands(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         found = self.active.get()
         state = Command(*found) if found else Command()
-        out = []
+        known, out = {}, []  # what is known of this batch's keys; a group that is new has none on disk
         for row in _ordered(rows).itertuples():
             create, name = row.kind == "create", _none(row.key)
-            before = self.known.getValue((name,))[0] if create and name is not None and self.known.containsKey((name,)) else None
+            if create and found and name is not None and name not in known and self.known.containsKey((name,)):
+                known[name] = self.known.getValue((name,))[0]
+            before = known.get(name) if create else None
             command = _none(row.command)
             state, outcome, about = self.rules.decide(state, row.at, row.kind, None if command is None else int(command), _none(row.runner), before)
             if create and outcome == "accepted" and name is not None:
                 self.known.updateValue((name,), (about,))
+                known[name] = about
             out.append((key[0], row.seq, outcome, about))
         self.active.update(tuple(asdict(state).values()))
-        yield pd.DataFrame(out, columns=["group", "seq", "outcome", "command"]).astype({"command": "Int64"})
+        groups, seqs, outcomes, about = zip(*out, strict=True)
+        yield pd.DataFrame({"group": groups, "seq": seqs, "outcome": outcomes, "command": pd.array(about, dtype="Int64")})
 
     def close(self) -> None:
         pass
