@@ -6,7 +6,7 @@ Spark and are called from ``mapInArrow`` functions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +78,12 @@ def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int
 
 
 class Words:
-    """Words of a slice: ``starts`` and ``ends`` in bytes, ``first`` word of each text, and hashes."""
+    """Words of a slice: ``starts`` and ``ends`` in bytes, ``first`` word of each text, and hashes.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    ``cuts`` tells from the bytes where words are cut further.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray] | None = None):
         n = len(data)
         values = table[data]
         inside = values != 0
@@ -90,7 +93,10 @@ class Words:
             after[1:] = inside[:-1]
             begins = offsets[:-1]
             after[begins[begins < n]] = False
-        self.starts = np.flatnonzero(inside & ~after)
+        self.begins = inside & ~after
+        if cuts is not None:
+            self.begins |= inside & cuts(data)
+        self.starts = np.flatnonzero(self.begins)
         self.first = np.searchsorted(self.starts, offsets)
         self.inside = inside
         self.data = data
@@ -109,11 +115,7 @@ class Words:
     def ends(self) -> np.ndarray:
         """One past the last byte of each word."""
         last = self.inside.copy()
-        if self.n:
-            last[:-1] &= ~self.inside[1:]
-            begins = self.offsets[1:-1]
-            begins = begins[(begins > 0) & (begins < self.n)]
-            last[begins - 1] = self.inside[begins - 1]
+        last[:-1] &= ~self.inside[1:] | self.begins[1:]
         return np.flatnonzero(last) + 1
 
     def prefixes(self, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +133,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def batch_words(column: pa.Array, table: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
+def batch_words(column: pa.Array, table: np.ndarray, limit: int = 1 << 18, cuts: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int, Words]]:
     data, offsets = utf8(column)
     for a, b in slices(offsets, limit):
         lo, hi = offsets[a], offsets[b]
-        yield a, b, Words(data[lo:hi], offsets[a : b + 1] - lo, table)
+        yield a, b, Words(data[lo:hi], offsets[a : b + 1] - lo, table, cuts)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -17,15 +18,42 @@ from ._text import SPACES, batch_words, byte_values
 from ._work import materialise
 
 _TABLE = byte_values(SPACES)
+LOT = 64  # words of letters that are encoded in one call
+
+LETTER, DIGIT, MARK = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = MARK
+_KIND[0x30:0x3A] = DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = LETTER
+_KIND[ord("|")] = 0  # stands inside <|endoftext|>
+
+
+def piece_cuts(data: np.ndarray) -> np.ndarray:
+    """Where the tokenizer surely begins a new piece inside a word, by the byte that begins it.
+
+    Its pieces are runs of letters, single digits, runs of marks, and endings such as 's. ASCII
+    and the letters of Latin-1 (two bytes, 0xC3 first) tell this by themselves; nothing is cut
+    beside other characters, which may be of any kind or join the one before, between an
+    apostrophe and a letter, or at a bar.
+    """
+    kind, out = _KIND[data], np.zeros(len(data), bool)
+    if len(data) > 1:
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of times and division
+        kind[lead] = kind[lead + 1] = LETTER
+        left, right = kind[:-1], kind[1:]
+        out[1:] = (left != 0) & (right != 0) & ((left != right) | (right == DIGIT))
+        out[1:] &= (data[:-1] != ord("'")) | (right == DIGIT)
+    return out
 
 
 class WordTokenizer:
-    """Token ids of whole texts from those of their words.
+    """Token ids of whole texts from those of their pieces.
 
-    The tokenizer lower-cases and never joins anything over white space, so a text's ids
-    are those of its words one after the other. Words are told apart by 64-bit hashes (A-Z
-    as a-z) and given to the tokenizer once; they
-    are forgotten when there are more than ``most``.
+    The tokenizer lower-cases and never joins anything over white space or ``piece_cuts``, so
+    a text's ids are those of its pieces one after the other. Pieces are told apart by 64-bit
+    hashes (A-Z as a-z, but in those that may hold a special token) and given to the tokenizer
+    once; they are forgotten when there are more than ``most``.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -33,6 +61,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closing[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.most = most
         self.forget()
 
@@ -43,31 +74,65 @@ class WordTokenizer:
         self.ids = np.zeros(1 << 20, np.uint32)
         self.end = 0
 
+    def spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, the order in which they stand there, and how many each has.
+
+        Words of letters go to the tokenizer in lots, and their ids are told apart by the
+        tokens that close a word. Each word has one such token at least, so if there are as
+        many as words, each has one; another lot's words go one by one, as do other words.
+        """
+        size = np.zeros(len(words), np.int64)
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        alone, order, flat = [np.flatnonzero(~letters)], [], []
+        plain = np.flatnonzero(letters)
+        lots = [plain[at : at + LOT] for at in range(0, len(plain), LOT)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join([words[k] for k in lot.tolist()]) for lot in lots], add_special_tokens=False)
+        for lot, one in zip(lots, encoded, strict=True):
+            ids = np.array(one.ids, np.uint32)
+            last = np.flatnonzero(self.closing[ids]) + 1
+            if len(last) == len(lot):
+                size[lot] = np.diff(last, prepend=0)
+                order.append(lot)
+                flat.append(ids)
+            else:
+                alone.append(lot)
+        rest = np.concatenate(alone)
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in rest.tolist()], add_special_tokens=False)]
+        size[rest] = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat.append(np.fromiter(chain.from_iterable(encoded), np.uint32, int(size[rest].sum())))
+        return np.concatenate(flat), np.concatenate([*order, rest]), size
+
     def learn(self, keys: np.ndarray, places: np.ndarray, words: list[str]) -> None:
         """Add words; ``keys`` are sorted, not yet known, and belong at ``places``."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        end = self.end + int(size.sum())
+        flat, order, size = self.spell(words)
+        end = self.end + len(flat)
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
-        self.ids[self.end : end] = np.fromiter(chain.from_iterable(encoded), np.uint32, end - self.end)
+        self.ids[self.end : end] = flat
+        begin = np.empty_like(size)
+        begin[order] = self.end + np.cumsum(size[order]) - size[order]
         self.keys = np.insert(self.keys, places, keys)
-        self.begin = np.insert(self.begin, places, self.end + np.cumsum(size) - size)
+        self.begin = np.insert(self.begin, places, begin)
         self.size = np.insert(self.size, places, size)
         self.end = end
 
     def encode(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text of a column with ``end_id`` behind them; null texts are empty."""
-        for a, b, words in batch_words(column, _TABLE, 1 << 20):
+        for a, b, words in batch_words(column, _TABLE, 1 << 20, piece_cuts):
             if len(self.keys) > self.most:
                 self.forget()
+            ends = words.ends()
+            special = np.flatnonzero((words.data[:-1] == ord("<")) & (words.data[1:] == ord("|")))
+            for k in np.unique(np.searchsorted(words.starts, special, "right") - 1).tolist():  # their case counts
+                words.hashes[k] = int.from_bytes(blake2b(words.data[words.starts[k] : ends[k]], digest_size=8).digest())
             distinct, sample, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
             places = np.searchsorted(self.keys, distinct)
             known = places < len(self.keys)
             known[known] = self.keys[places[known]] == distinct[known]
             if not known.all():
-                ends = words.ends()
-                spell = [words.data[words.starts[k] : ends[k]].tobytes().decode() for k in sample[~known]]
+                raw = words.data.tobytes()
+                new = sample[~known]
+                spell = [raw[x:y].decode() for x, y in zip(words.starts[new].tolist(), ends[new].tolist(), strict=True)]
                 self.learn(distinct[~known], places[~known], spell)
                 places = np.searchsorted(self.keys, distinct)
             places = places[inverse]

@@ -264,6 +264,17 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_pieces_of_words_are_encoded_once():
+    public = pytest.importorskip("public_tokenizers")
+    words = packing.WordTokenizer(public.path("word_bpe_49k.json"))
+    texts = ["<|ENDOFTEXT|> <|endoftext|> a<|endoftext|>'s", "don't DON'T ''s .'s 's5", "café, café. \u0130. \u00d7. =\u0338. e\u0301. 12\u20e3 ½5", "aΣ.Σ a—.b\u00a0c", None]
+    for text, ids in zip(texts, words.encode(pa.array(texts), 1), strict=True):
+        assert ids.tolist() == [*words.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    words.forget()
+    list(words.encode(pa.array(["alpha, alpha. (alpha) alpha-alpha 2024-11-28 naïve! naïve?"]), 1))
+    assert len(words.keys) == 14  # alpha naïve , . ( ) - ! ? and five digits
+
+
 def test_nnls_plan_places_every_piece():
     histogram = np.bincount(np.random.default_rng(0).integers(1, 2049, 30_000), minlength=2049)
     slots, n = packing.plan(histogram)
