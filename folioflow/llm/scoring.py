@@ -21,6 +21,7 @@ _TABLE = byte_values(NON_ALNUM)
 CHUNK = 1 << 14
 GROWTH = 0.45
 BATCH = 1 << 14
+ROWS = 1 << 11  # of a softmax at a time, which fit a core's cache
 
 
 @dataclass
@@ -130,6 +131,11 @@ def contexts(first: np.ndarray, tokens: np.ndarray, edge: int) -> np.ndarray:
     return np.stack(rows).astype(np.int32)
 
 
+def _order(numbers: np.ndarray, size: int) -> np.ndarray:
+    """A stable order of numbers below ``size``; sixteen bits are sorted by counting."""
+    return np.argsort(numbers.astype(np.uint16) if size <= 1 << 16 else numbers, kind="stable")
+
+
 class Network:
     """h = tanh(sum of a vector per neighbour, by place); the word's class and the word in it are softmaxes of h."""
 
@@ -162,10 +168,16 @@ class Network:
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.bias + self.inputs[0][around[0]]
-        for k in range(1, len(REACH)):
-            h += self.inputs[k][around[k]]
-        return np.tanh(h, out=h)
+        """With a last column of ones, by which products with ``_with_bias`` add the bias."""
+        out, near = np.ones((around.shape[1], self.width + 1), "f4"), np.empty((ROWS, self.width), "f4")
+        for at in range(0, len(out), ROWS):
+            rows = slice(at, min(at + ROWS, len(out)))
+            h, some = self.inputs[0].take(around[0, rows], axis=0), near[: rows.stop - at]
+            h += self.bias
+            for k in range(1, len(REACH)):
+                h += np.take(self.inputs[k], around[k, rows], axis=0, out=some, mode="clip")
+            np.tanh(h, out=out[rows, :-1])
+        return out
 
     @staticmethod
     def _exp(x: np.ndarray) -> np.ndarray:
@@ -174,46 +186,66 @@ class Network:
             x -= x.max(1, keepdims=True)
         return np.exp(x, out=x)
 
-    def _by_class(self, cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.size // self.per_class + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            yield c, order[cuts[c] : cuts[c + 1]]
+    @staticmethod
+    def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+    def _by_word(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """An order by target, the classes and words in it, and where each class begins."""
+        order = _order(target, self.size)
+        cls, word = np.divmod(target[order], self.per_class)
+        return order, cls, word, np.searchsorted(cls, np.arange(self.size // self.per_class + 1))
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each masked word given its neighbours; over all words they sum to 1."""
-        h = self.hidden(around)
-        cls, word = np.divmod(target, self.per_class)
-        x = self._exp(h @ self.to_class + self.class_bias)
-        out = x[np.arange(len(target)), cls] / x.sum(1)
-        for c, rows in self._by_class(cls):
-            x = self._exp(h[rows] @ self.to_word[c] + self.word_bias[c])
-            out[rows] *= x[np.arange(len(rows)), word[rows]] / x.sum(1)
-        return np.log(np.maximum(out, np.float32(1e-37)))
+        order, cls, word, cuts = self._by_word(target)
+        h, out, found = self.hidden(around[:, order]), np.empty(len(target), "f4"), np.empty(len(target), "f4")
+        to_class, to_word = self._with_bias(self.to_class, self.class_bias), self._with_bias(self.to_word, self.word_bias)
+        for at in range(0, len(target), ROWS):
+            x = self._exp(h[at : at + ROWS] @ to_class)
+            found[at : at + ROWS] = x[np.arange(len(x)), cls[at : at + ROWS]] / (x @ np.ones(x.shape[1], "f4"))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            for at in range(cuts[c], cuts[c + 1], ROWS):
+                rows = slice(at, min(at + ROWS, cuts[c + 1]))
+                x = self._exp(h[rows] @ to_word[c])
+                found[rows] *= x[np.arange(len(x)), word[rows]] / (x @ np.ones(x.shape[1], "f4"))
+        out[order] = np.log(np.maximum(found, np.float32(1e-37)))
+        return out
+
+    def _layer(self, h: np.ndarray, weights: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of a softmax's weights, with the bias as last row, and of h."""
+        d = self._exp(h @ weights)
+        d /= (d @ np.ones(d.shape[1], "f4"))[:, None]
+        d[np.arange(len(d)), target] -= 1
+        return h.T @ d, d @ weights[:-1].T
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Of the sum of log-losses."""
+        order, cls, word, cuts = self._by_word(target)
+        around = around[:, order]
         h = self.hidden(around)
-        cls, word = np.divmod(target, self.per_class)
         g = {name: np.zeros(getattr(self, name).shape, "f4") for name in self.SHAPES}
-        d = self._exp(h @ self.to_class + self.class_bias)
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(target)), cls] -= 1
-        g["to_class"], g["class_bias"] = h.T @ d, d.sum(0)
-        dh = d @ self.to_class.T
-        for c, rows in self._by_class(cls):
-            mine = h[rows]
-            d = self._exp(mine @ self.to_word[c] + self.word_bias[c])
-            d /= d.sum(1, keepdims=True)
-            d[np.arange(len(rows)), word[rows]] -= 1
-            g["to_word"][c], g["word_bias"][c] = mine.T @ d, d.sum(0)
-            dh[rows] += d @ self.to_word[c].T
+        to_class, to_word = self._with_bias(self.to_class, self.class_bias), self._with_bias(self.to_word, self.word_bias)
+        dh = np.empty((len(target), self.width), "f4")
+        for at in range(0, len(target), ROWS):
+            mine, dh[at : at + ROWS] = self._layer(h[at : at + ROWS], to_class, cls[at : at + ROWS])
+            g["to_class"] += mine[:-1]
+            g["class_bias"] += mine[-1]
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            for at in range(cuts[c], cuts[c + 1], ROWS):
+                rows = slice(at, min(at + ROWS, cuts[c + 1]))
+                mine, more = self._layer(h[rows], to_word[c], word[rows])
+                g["to_word"][c] += mine[:-1]
+                g["word_bias"][c] += mine[-1]
+                dh[rows] += more
+        h = h[:, :-1]
         dh *= 1 - h * h
         g["bias"] = dh.sum(0)
         for k in range(len(REACH)):
-            order = np.argsort(around[k], kind="stable")
-            seen, first = np.unique(around[k][order], return_index=True)
-            g["inputs"][k][seen] = np.add.reduceat(dh[order], first, axis=0)
+            order = _order(around[k], self.size + 1)
+            near = around[k][order]
+            first = np.flatnonzero(np.diff(near, prepend=-1))
+            g["inputs"][k][near[first]] = np.add.reduceat(dh.take(order, axis=0), first, axis=0) if len(first) else 0
         return g
 
 

@@ -493,6 +493,22 @@ def test_network_is_a_distribution_and_gradients_are_right():
     assert np.isfinite(net.log_probabilities(around, target)).all()
 
 
+def test_softmaxes_go_over_few_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(0)
+    net = scoring.Network(128, 5, counts=np.arange(128.0))
+    around, target = rng.integers(0, 129, (4, 300)), rng.integers(0, 128, 300)
+    whole = net.log_probabilities(around, target), net.gradients(around, target)
+    seen = []
+    exp = scoring.Network._exp
+    monkeypatch.setattr(scoring, "ROWS", 7)
+    monkeypatch.setattr(scoring.Network, "_exp", staticmethod(lambda x: seen.append(len(x)) or exp(x)))
+    assert net.log_probabilities(around, target) == pytest.approx(whole[0], abs=1e-5)
+    parts = net.gradients(around, target)
+    assert all(parts[name] == pytest.approx(whole[1][name], abs=1e-4) for name in net.SHAPES)
+    assert max(seen) == 7 and sum(seen) == 4 * 300
+    assert net.log_probabilities(around[:, :0], target[:0]).shape == (0,) and not net.gradients(around[:, :0], target[:0])["inputs"].any()
+
+
 def test_reader_agrees_with_the_network():
     rng = np.random.default_rng(0)
     net = langid.Network.fresh(["a", "b", "c"], 8, rng)
