@@ -16,9 +16,9 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go.
+    """Documents without a recognised language go, such as random letters and encoded data.
 
-    So do null and empty texts. Repeated rows stay or go alike, columns stay as they are, an
+    So do null and empty texts; those in doubt stay. Repeated rows stay or go alike, columns stay as they are, an
     empty table stays empty, and a corpus without any lang loses all documents.
     """
     return langid.keep_identified(docs)

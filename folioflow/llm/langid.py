@@ -15,6 +15,7 @@ from ._text import slices, struct_field, utf8
 
 WINDOW = 128  # bytes that are read in one run of the network
 LANES = 512  # windows that are read side by side
+NONE = "und"
 
 
 def _softsign(x: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -33,6 +34,7 @@ class Network:
     recur: list[np.ndarray]  # two of H x 3H
     heads: list[np.ndarray]  # two of H x C
     bias: np.ndarray  # C
+    none_from: float = 1.0  # texts whose probability of ``NONE`` is less may be of some language
 
     def parameters(self) -> list[np.ndarray]:
         return [*self.inputs, *self.recur, *self.heads, self.bias]
@@ -232,7 +234,22 @@ def predict(net: Network | Reader, data: np.ndarray, offsets: np.ndarray) -> np.
     return pooled / np.maximum(sizes, 1)[:, None]
 
 
-def fit(labelled: DataFrame, *, per_language: int = 1200, most_languages: int = 200, excerpt: int = 384, **options) -> Network:
+def scrambled(texts: list[str], n: int, seed: int = 7) -> list[str]:
+    """``n`` texts of no language, from characters of the given ones drawn evenly: in place of the letters of a text, or of all of it."""
+    rng = np.random.default_rng(seed)
+    seen = sorted(set("".join(texts)))
+    dense, letters = [c for c in seen if not c.isspace()], [c for c in seen if c.isalpha()]
+    if not letters:
+        return []
+    small, out = [c for c in letters if not c.isupper()] or letters, []
+    for k in range(n):
+        text = texts[int(rng.integers(len(texts)))]
+        drawn = rng.choice([dense, letters, small][k % 3], len(text))
+        out.append("".join(b if k % 3 == 0 or a.isalpha() else a for a, b in zip(text, drawn, strict=True)))
+    return out
+
+
+def fit(labelled: DataFrame, *, per_language: int = 1200, most_languages: int = 200, excerpt: int = 384, none: bool = False, **options) -> Network:
     """Train on at most ``per_language`` excerpts (characters, somewhere in the text) of each language.
 
     ``labelled`` has doc_id, text and lang. Only the ``most_languages`` values of lang with
@@ -240,6 +257,11 @@ def fit(labelled: DataFrame, *, per_language: int = 1200, most_languages: int =
     hash of their ids, so reruns agree; it is the only thing that comes to the driver.
     Null langs and null or empty texts teach nothing; without any text, nothing is learned.
     Repeated rows have one hash and are taken or left alike, up to the bound.
+
+    With ``none`` the network also learns ``NONE``, from as many ``scrambled`` excerpts as a
+    language has on average, and ``none_from`` is the least probability of it at which a
+    text is of no language: no language is as likely as all of them together, and no more
+    than a thousandth of the excerpts reach it.
     """
     spread = F.xxhash64(F.lit("lang-sample"), "doc_id")
     place = F.pmod(F.shiftrightunsigned(spread, 8), F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
@@ -255,7 +277,13 @@ def fit(labelled: DataFrame, *, per_language: int = 1200, most_languages: int =
     for lang, spread, part in sorted((r["lang"], r["spread"] % (1 << 40), r["part"]) for r in near):
         if len(chosen.setdefault(lang, [])) < per_language:
             chosen[lang].append(part)
-    return train([part.encode() for parts in chosen.values() for part in parts], [lang for lang, parts in chosen.items() for _ in parts], **options)
+    texts, langs = [part for parts in chosen.values() for part in parts], [lang for lang, parts in chosen.items() for _ in parts]
+    extra = scrambled(texts, max(1, len(texts) // len(chosen))) if none and texts else []
+    net = train([text.encode() for text in texts + extra], langs + [NONE] * len(extra), **options)
+    if extra:
+        p = predict(net, *utf8(pa.array(texts)))[:, net.langs.index(NONE)]
+        net.none_from = max(0.5, float(np.nextafter(np.quantile(p, 0.999, method="higher"), 1)))
+    return net
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
@@ -279,7 +307,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
                 p = predict(reader, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) if net.langs else np.zeros((b - a, 1))
                 lettered = [t is not None and any(map(str.isalpha, t)) for t in column.slice(a, b - a).to_pylist()]
                 top = p.argmax(1)
-                best += [net.langs[k] if ok and net.langs else "und" for k, ok in zip(top, lettered, strict=True)]
+                best += [net.langs[k] if ok and net.langs else NONE for k, ok in zip(top, lettered, strict=True)]
                 scores += [float(x) if ok else 0.0 for x, ok in zip(p[np.arange(b - a), top], lettered, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
@@ -309,11 +337,14 @@ def languages(docs: DataFrame, *, mod: int = 4, held_out: int = 2, **options) ->
 def keep_identified(docs: DataFrame, *, least_score: float = 0.0, **options) -> DataFrame:
     """The documents in which some learned language is recognised.
 
-    Those without letters go (null and empty texts among them), and those in which no
-    language reaches ``least_score``. By default there is no such threshold: scores of short
-    clean texts and of random letters overlap, so any threshold would lose clean texts.
-    Columns stay as they are, whatever their names; repeated rows stay or go alike; an
-    empty table gives no rows, and without any lang nothing is recognised.
+    Those without letters go (null and empty texts among them), those that are surely of no
+    language, as the network knows it from scrambled texts (``none_from`` of ``fit``), and
+    those in which nothing reaches ``least_score``. By default there is no such threshold:
+    scores of short clean texts and of random letters overlap, so any threshold would lose
+    clean texts. Columns stay as they are, whatever their names; repeated rows stay or go
+    alike; an empty table gives no rows, and without any lang nothing is recognised.
     """
-    found = identify(docs, fit(docs.select("doc_id", "text", "lang"), **options))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
+    net = fit(docs.select("doc_id", "text", "lang"), none=True, **options)
+    found = identify(docs, net)
+    surely_none = (F.col("lang_pred") == NONE) & ((F.col("score") == 0) | (F.col("score") >= net.none_from))
+    return found.filter(~surely_none & (F.col("score") >= least_score)).select("row.*")

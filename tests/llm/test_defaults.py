@@ -1,5 +1,6 @@
 """Operators with the settings that their queries use."""
 
+import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def test_small_clean_corpora_stay(spark):
     assert sorted(kept) == sorted(lettered)
 
 
+def test_texts_of_no_language_go(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter(F.regexp_like("text", F.lit(r"\p{L}")))
+    encoded = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 400)) for _ in range(20)]
+    letters = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(60)) for _ in range(20)]
+    rows = [(-1 - i, text, None, "junk", len(text)) for i, text in enumerate([*encoded, *letters])]
+    kept = {r.doc_id for r in langid.keep_identified(docs.unionByName(spark.createDataFrame(rows, docs.schema))).select("doc_id").collect()}
+    assert {r.doc_id for r in docs.select("doc_id").collect()} <= kept
+    assert len([i for i in kept if i < 0]) <= 4
+
+
 def test_only_frequent_languages_are_learned(spark):
     rows = [(i, f"some text of number {i}", "en" if i < 40 else f"dirty {i}") for i in range(60)]
     net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=3, least_steps=1)
