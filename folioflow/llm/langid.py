@@ -338,13 +338,14 @@ def keep_identified(docs: DataFrame, *, least_score: float = 0.0, **options) ->
     """The documents in which some learned language is recognised.
 
     Those without letters go (null and empty texts among them), those that are surely of no
-    language, as the network knows it from scrambled texts (``none_from`` of ``fit``), and
-    those in which nothing reaches ``least_score``. By default there is no such threshold:
+    language, as the network knows it from scrambled texts (``none_from`` of ``fit``; in texts
+    of less than two windows a number or an address weighs too much, so they stay), and those in which nothing reaches ``least_score``. By default there is no such threshold:
     scores of short clean texts and of random letters overlap, so any threshold would lose
     clean texts. Columns stay as they are, whatever their names; repeated rows stay or go
     alike; an empty table gives no rows, and without any lang nothing is recognised.
     """
     net = fit(docs.select("doc_id", "text", "lang"), none=True, **options)
     found = identify(docs, net)
-    surely_none = (F.col("lang_pred") == NONE) & ((F.col("score") == 0) | (F.col("score") >= net.none_from))
+    enough = F.octet_length("row.text") >= 2 * WINDOW
+    surely_none = (F.col("lang_pred") == NONE) & ((F.col("score") == 0) | (enough & (F.col("score") >= net.none_from)))
     return found.filter(~surely_none & (F.col("score") >= least_score)).select("row.*")
