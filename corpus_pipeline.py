@@ -1,6 +1,8 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
-Each stage gets all that the one before it kept, written as Parquet and read again.
+Each stage gets all that the one before it kept, written as Parquet and read again. Python
+workers outlive a stage, so every stage shortens the batches that they get; as its result is
+lazy, that holds for the session (``run`` puts the setting back).
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import jaccard, langid, mixing, packing, toxicity
-from folioflow.llm._work import materialise, temporary
+from folioflow.llm._work import materialise, short_batches, shorten_batches, temporary
 
 #: Training and packing have no SQL; tests run the chain on small tables and compare each stage with what it got.
 ORACLE_SQL = None
@@ -21,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     So do null and empty texts; those in doubt stay. Repeated rows stay or go alike, columns stay as they are, an
     empty table stays empty, and a corpus without any lang loses all documents.
     """
+    shorten_batches(spark)
     return langid.keep_identified(docs)
 
 
@@ -30,6 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay, as a text without words is not toxic; so does all if there
     are no labels. Repeated rows stay or go alike; an empty table stays empty.
     """
+    shorten_batches(spark)
     return toxicity.keep_harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -39,6 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     It is the one of the smallest doc_id. Rows without a doc_id and documents without words
     all stay; of rows of one doc_id one stays; an empty table stays empty.
     """
+    shorten_batches(spark)
     return jaccard.keep_one_each(docs, n=5, percent=80)
 
 
@@ -47,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is one of its own; empty texts are left out; an empty table stays empty.
     """
+    shorten_batches(spark)
     return mixing.mix(docs)
 
 
@@ -56,6 +62,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are an end token alone; repeated rows are packed one by one; an
     empty table gives no pieces.
     """
+    shorten_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -72,7 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what is written on the way is removed, but for the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (last, stage) = STAGES
-    with temporary(spark):
+    with temporary(spark), short_batches(spark):
         for name, function in before:
             with temporary(spark):
                 docs = materialise(function(spark, docs, sf_dir), f"stage-{name}", keep=True)

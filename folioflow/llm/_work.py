@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.sources.shared import fresh_dir, materialise, own_dir, remove, shared_dir, shuffle_partitions, temporary
 
-__all__ = ["fresh_dir", "join_weighted", "materialise", "own_dir", "remove", "shared_dir", "shuffle_partitions", "temporary"]
+__all__ = ["fresh_dir", "join_weighted", "materialise", "own_dir", "remove", "shared_dir", "short_batches", "shorten_batches", "shuffle_partitions", "temporary"]
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def shorten_batches(spark: SparkSession) -> None:
+    """From now on Python gets whole rows of about 4 MB at a time, in this session.
+
+    Otherwise a batch is up to 64 MB of text, which stands in the buffers of the JVM and
+    in each Python worker at once, and what they took for it they keep.
+    """
+    spark.conf.set(BATCH_BYTES, "4m")
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """``shorten_batches`` for the tables that are written in this block."""
+    before = spark.conf.get(BATCH_BYTES)
+    shorten_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
 
 
 def join_weighted(big: DataFrame, small: DataFrame, keys: dict[str, str], weight: str, total: int) -> DataFrame:

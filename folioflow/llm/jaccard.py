@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._text import _M, SPACES, Words, batch_words, byte_values, mix64, signed
-from ._work import materialise, temporary
+from ._work import materialise, short_batches, temporary
 
 _TABLE = byte_values(SPACES)
 BUCKETS = 1 << 20  # of shingle counts; a fixed size, whatever the corpus
@@ -127,6 +127,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
                     chosen = x[np.argsort(order)[:p]]
                     found[k].append(signed(chosen) if k == 0 else (chosen >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(found[0], pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in found[1:])], ["doc_id", "n", "tokens", *others])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "doc_id long, n int, tokens array<long>, " + ", ".join(f"{x} array<int>" for x in others))
 
@@ -163,6 +164,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                     a.append(group)
                     b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(run, "a long, b long")
 
@@ -187,7 +189,7 @@ def similar_documents(docs: DataFrame, *, n: int = 4, percent: int = 85) -> Data
        verified. No candidate is dropped, so no link between components is lost.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with temporary(docs.sparkSession):
+    with temporary(docs.sparkSession), short_batches(docs.sparkSession):
         summary = materialise(summarise(docs, n), "shingles", keep=True)
         classes = frequency_classes(summary.filter("chunk IS NOT NULL"))
         summary = summary.filter("chunk IS NULL").select("doc_id", "n", "print_1", "print_2", "least")

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow.fs as pafs
+import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import langid, queries, warc
+from folioflow.llm import jaccard, langid, mixing, packing, queries, toxicity, warc
 from folioflow.llm._work import shared_dir, temporary
 
 SMALL = "/root/testdata/sf0.01"
@@ -63,3 +64,29 @@ def test_copies_are_found_with_and_without_a_broadcast(spark):
     shown = ["page_id", "payload_sha1", "record_type", "refers_to"]
     both = [sorted(warc.classify(pages, few_groups=n).select(*shown).collect()) for n in (0, 1000)]
     assert both[0] == both[1] and sum(r.record_type == "revisit" for r in both[0]) == 59
+
+
+def largest_batch(docs):
+    """Bytes of the largest batch of texts that Python gets."""
+    sizes = docs.select("text").mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    return sizes.agg(F.max("n")).first()[0]
+
+
+def test_python_gets_texts_in_short_batches(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    setting, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(setting)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat("id", F.repeat(F.lit(" word"), 2000)).alias("text")).coalesce(1)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    try:
+        summarise = jaccard.summarise
+        monkeypatch.setattr(jaccard, "summarise", lambda found, n: seen.append(largest_batch(docs)) or summarise(found, n))
+        assert jaccard.similar_documents(docs.limit(3)).count() == 3 and spark.conf.get(setting) == before
+        for module, name in ((langid, "keep_identified"), (toxicity, "keep_harmless"), (jaccard, "keep_one_each"), (mixing, "mix"), (packing, "pack")):
+            monkeypatch.setattr(module, name, lambda docs, *_, **__: docs)
+        for _, stage in pipeline.STAGES:
+            spark.conf.set(setting, before)
+            seen.append(largest_batch(stage(spark, docs, str(tmp_path))))
+    finally:
+        spark.conf.set(setting, before)
+    assert len(seen) == 6 and max(seen) < 8 << 20 < largest_batch(docs)
